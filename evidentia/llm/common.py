@@ -40,7 +40,7 @@ def stored(df: DataFrame) -> DataFrame:
 
 def stored_bytes(df: DataFrame) -> int:
     """Size of the files behind a table that ``stored`` returned (Catalyst's own estimate, no job)."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:

@@ -7,6 +7,12 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_round_trip
 from .common import sha_hex, table
+from .decontaminate import decontaminate
+from .html import extract_main_text
+from .langid import held_out, identify, train
+from .pii import find_personal_data, spelled
+from .quality import judge_quality
+from .unigram import token_counts
 
 
 def tokenizer_file(name: str) -> str:
@@ -26,5 +32,36 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe}
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts(docs, tokenizer_file("piece_bpe_32k.model")).select("doc_id", "n_tokens")
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", sha_hex(spelled("base")).alias("base_sha256"), spelled("spans").alias("spans"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge_quality(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", sha_hex(F.array_join("item_ids", ",")).alias("items_sha256"), "contaminated")
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
+    model = train(docs.filter(~F.col("held_out")))
+    return identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_pii, op5_quality, op6_decontaminate, op9_html, op10_langid)}
 ORACLES: dict[str, str] = {}
