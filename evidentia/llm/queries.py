@@ -12,6 +12,7 @@ from .html import extract_main_text
 from .langid import held_out, identify, train
 from .pii import find_personal_data, spelled
 from .quality import judge_quality
+from .substrings import remove_repeats
 from .unigram import token_counts
 
 
@@ -52,6 +53,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", sha_hex(F.array_join("item_ids", ",")).alias("items_sha256"), "contaminated")
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", sha_hex(F.col("kept_text")).alias("kept_sha256"))
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -63,5 +69,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_pii, op5_quality, op6_decontaminate, op9_html, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_pii, op5_quality, op6_decontaminate, op7_substrings, op9_html, op10_langid)}
 ORACLES: dict[str, str] = {}
