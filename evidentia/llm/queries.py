@@ -9,6 +9,7 @@ from .bpe import bpe_round_trip
 from .common import sha_hex, table
 from .decontaminate import decontaminate
 from .html import extract_main_text
+from .jaccard import similar_documents
 from .langid import held_out, identify, train
 from .pii import find_personal_data, spelled
 from .quality import judge_quality
@@ -58,6 +59,10 @@ def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", sha_hex(F.col("kept_text")).alias("kept_sha256"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return text.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -69,5 +74,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_pii, op5_quality, op6_decontaminate, op7_substrings, op9_html, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_pii, op5_quality, op6_decontaminate, op7_substrings, op8_jaccard, op9_html, op10_langid)}
 ORACLES: dict[str, str] = {}
