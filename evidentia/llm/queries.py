@@ -11,6 +11,7 @@ from .decontaminate import decontaminate
 from .html import extract_main_text
 from .jaccard import similar_documents
 from .langid import held_out, identify, train
+from .licenses import scan_licenses
 from .pii import find_personal_data, spelled
 from .quality import judge_quality
 from .substrings import remove_repeats
@@ -44,6 +45,15 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", sha_hex(spelled("base")).alias("base_sha256"), spelled("spans").alias("spans"))
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's path is its source, then its id by thousands and by hundreds."""
+    docs = table(spark, sf_dir, "documents")
+    floor = lambda n: F.floor(F.col("doc_id") / n).cast("string")
+    files = docs.select(F.concat_ws("/", "source", floor(1000), floor(100), F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
+    found = scan_licenses(files, "path", "text")
+    return found.select(F.regexp_extract("path", r"(\d+)\.txt$", 1).cast("long").alias("doc_id"), "path", "license", "score", "origin", "from_path")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_quality(table(spark, sf_dir, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -74,5 +84,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_pii, op5_quality, op6_decontaminate, op7_substrings, op8_jaccard, op9_html, op10_langid)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_pii, op4_licenses, op5_quality, op6_decontaminate, op7_substrings, op8_jaccard, op9_html, op10_langid)}
 ORACLES: dict[str, str] = {}
