@@ -26,8 +26,10 @@ from .components import connected_components
 
 #: Counters of the frequency table; every task and the driver hold one such table.
 COUNTER_BITS, BLOCK_BITS = 20, 12
+#: Bins of a set's histogram, a byte each, packed into one integer.
 BINS = 8
-ROUNDS, LEADERS = 4, 2
+#: Rounds of comparison with leaders, and of how many shared shingles each set tries the leader in a round.
+ROUNDS, TRIES = 3, 2
 
 
 def shingle_sets(texts: list[str | None], size: int) -> list[np.ndarray]:
@@ -76,7 +78,7 @@ def frequencies(texts: DataFrame, size: int) -> np.ndarray:
 
 
 def profile(texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc, n, two halves of the set's fingerprint, its prefix (rare first) and a histogram of the set."""
+    """doc, n, two halves of the set's fingerprint, its prefix (rare first) and a histogram whose counts stop at 255."""
     table = texts.sparkSession.sparkContext.broadcast(frequencies(texts, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,16 +89,16 @@ def profile(texts: DataFrame, size: int, percent: int) -> DataFrame:
             for s in sets:
                 take = len(s) - -(-percent * len(s) // 100) + 1 if len(s) else 0
                 prefix.append(s[np.lexsort((s, table.value[_slots(s)]))[:take]].view(np.int64))
-                bins.append(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS))
+                bins.append(np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).view(np.int64)[0])
             flat = np.concatenate([*sets, np.zeros(0, np.uint64)])
             marks = []
             for salt in (0x51ED27, 0xA3C59AC3):
                 sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashing.mix(flat + np.uint64(salt)), dtype=np.uint64)))
                 ends = np.cumsum(n)
                 marks.append((sums[ends] - sums[ends - n]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n, pa.int32()), *map(pa.array, marks), pa.array(prefix, pa.list_(pa.int64())), pa.array([b.tolist() for b in bins], pa.list_(pa.int32()))], ["doc", "n", "mark1", "mark2", "prefix", "bins"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(n, pa.int32()), *map(pa.array, marks), pa.array(prefix, pa.list_(pa.int64())), pa.array(bins, pa.int64())], ["doc", "n", "mark1", "mark2", "prefix", "bins"])
 
-    return texts.mapInArrow(run, "doc long, n int, mark1 long, mark2 long, prefix array<long>, bins array<int>")
+    return texts.mapInArrow(run, "doc long, n int, mark1 long, mark2 long, prefix array<long>, bins long")
 
 
 def full_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
@@ -107,7 +109,7 @@ def full_sets(texts: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
             sets = [s.view(np.int64) for s in shingle_sets(batch.column("text").to_pylist(), size)]
             yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(sets, pa.list_(pa.int64()))], ["doc", "items"])
 
-    return texts.join(small(wanted), "doc", "left_semi").mapInArrow(run, "doc long, items array<long>").dropDuplicates(["doc"])
+    return texts.join(small(wanted), "doc", "left_semi").mapInArrow(run, "doc long, items array<long>")
 
 
 def least_overlap(n_a: Column, n_b: Column, percent: int) -> Column:
@@ -121,7 +123,9 @@ def may_link(percent: int) -> Column:
     need = least_overlap(n_a, n_b, percent)
     length = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
     position = F.least(i, j) + 1 + F.least(n_a - i - 1, n_b - j - 1) >= need
-    differ = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda s, x: s + x)
+    bin_of = lambda c, k: F.shiftright(F.col(c), 8 * k).bitwiseAND(F.lit(255))
+    # Counts that stop at 255 differ by no more than the true ones.
+    differ = sum((F.abs(bin_of("bins_a", k) - bin_of("bins_b", k)) for k in range(BINS)), F.lit(0))
     return length & position & (differ <= n_a + n_b - 2 * need)
 
 
@@ -129,13 +133,17 @@ def side(rows: DataFrame, name: str) -> DataFrame:
     return rows.select("token", *[F.col(c).alias(f"{c}_{name}") for c in ("doc", "n", "at", "bins", "comp")])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
-    left = pairs.join(sets.select(F.col("doc").alias("a"), F.col("items").alias("x")), "a")
-    both = left.join(sets.select(F.col("doc").alias("b"), F.col("items").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    both = both.select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("total"))
-    return both.filter(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b")
+def verified(texts: DataFrame, pairs: DataFrame, percent: int, size: int) -> DataFrame:
+    """The pairs (a, b) of a stored table whose sets are similar enough, as a stored table.
+
+    Sets are made from the texts again, for documents in a pair only; where pairs or the sets of one side are within
+    the broadcast limit, none is shuffled.
+    """
+    x = full_sets(texts, stored(pairs.select(F.col("a").alias("doc")).distinct()), size).withColumnRenamed("doc", "a")
+    y = stored(full_sets(texts, stored(pairs.select(F.col("b").alias("doc")).distinct()), size)).select(F.col("doc").alias("b"), F.col("items").alias("others"))
+    both = x.join(small(pairs), "a").join(small(y), "b")
+    both = both.select("a", "b", F.size(F.array_intersect("items", "others")).alias("common"), (F.size("items") + F.size("others")).alias("total"))
+    return stored(both.filter(100 * F.col("common") >= percent * (F.col("total") - F.col("common"))).select("a", "b"))
 
 
 def similar_documents(docs: DataFrame, percent: int = 90, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -151,47 +159,47 @@ def similar_documents(docs: DataFrame, percent: int = 90, size: int = 3, id_col:
     classes = profiles.groupBy(*key).agg(F.min("doc").alias("class"))
     members = profiles.select("doc", *key).join(classes, key).select("doc", F.col("n"), F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("doc")).alias("class"))
     members = stored(members)
-    heads = members.filter((F.col("doc") == F.col("class")) & (F.col("n") > 0)).select("doc").distinct()
-    own = profiles.select("doc", "n", "prefix").dropDuplicates(["doc"]).join(heads, "doc", "left_semi")
-    tokens = own.select("doc", "n", F.posexplode("prefix").alias("at", "token"))
-    shared = tokens.groupBy("token").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("token")
-    met = tokens.join(shared, "token")
-    rows = stored(met.join(profiles.select(F.col("doc").alias("_doc"), "bins").dropDuplicates(["_doc"]), F.col("doc") == F.col("_doc")).select("token", "doc", "n", "at", "bins"))
-    sets = stored(full_sets(texts, stored(rows.select("doc").distinct()), size))
+    heads = stored(members.filter((F.col("doc") == F.col("class")) & (F.col("n") > 0)).select("doc").distinct())
+    own = profiles.select("doc", "n", "bins", "prefix").join(small(heads), "doc", "left_semi")
+    tokens = own.select("doc", "n", "bins", F.posexplode("prefix").alias("at", "token"))
+    shared = stored(tokens.groupBy("token").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("token"))
+    rows = stored(tokens.join(small(shared), "token"))
     component = stored(rows.select("doc", F.col("doc").alias("comp")).distinct())
 
     def absorb(component: DataFrame, links: DataFrame) -> DataFrame:
         """Components after some links: the parts they tie are joined, then renamed."""
         c = lambda x: component.select(F.col("doc").alias(x), F.col("comp").alias(f"c_{x}"))
-        tied = links.join(c("a"), "a").join(c("b"), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).filter("a <> b").distinct()
+        tied = links.join(small(c("a")), "a").join(small(c("b")), "b").select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).filter("a <> b").distinct()
         new = connected_components(stored(tied)).withColumnRenamed("node", "comp")
         return stored(component.join(new, "comp", "left").select("doc", F.coalesce("component", "comp").alias("comp")))
 
     def unsettled(component: DataFrame) -> DataFrame:
         """Rows of the shingles whose holders are in more than one component."""
-        placed = rows.join(component, "doc")
-        mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
-        return placed.join(mixed, "token")
+        placed = rows.join(small(component), "doc")
+        mixed = stored(placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token"))
+        return stored(placed.join(small(mixed), "token"))
 
+    now = unsettled(component)
     for r in range(ROUNDS):
-        now = stored(unsettled(component).withColumn("draw", F.xxhash64("doc", "token", F.lit(r))))
-        leader = now.join(now.groupBy("token").agg(F.min("draw").alias("_draw")).withColumnRenamed("token", "_token"), (F.col("token") == F.col("_token")) & (F.col("draw") == F.col("_draw"))).drop("_token", "_draw")
-        tried = side(now, "a").join(side(leader, "b"), "token").filter(F.col("comp_a") != F.col("comp_b")).filter(may_link(percent))
-        # Each document tries the leaders of a few of its shingles, drawn anew each round.
-        tried = tried.groupBy("doc_a").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("doc_b", F.lit(r)).alias("draw"), F.col("doc_b").alias("b")))), 1, LEADERS).alias("few"))
-        pairs = tried.select(F.col("doc_a").alias("a"), F.explode("few").alias("x")).select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()
-        links = stored(verified(pairs, sets, percent))
+        # The same few shingles of like sets, drawn anew each round; a document's own prefix bounds what is gathered.
+        drawn = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("token", F.lit(r)).alias("draw"), "token", "at"))), 1, TRIES)
+        few = now.groupBy("doc", "n", "bins", "comp").agg(drawn.alias("few"))
+        few = stored(few.select("doc", "n", "bins", "comp", F.explode("few").alias("x")).select("doc", "n", "bins", "comp", "x.token", "x.at").withColumn("draw", F.xxhash64("doc", "token", F.lit(r))))
+        first = few.groupBy("token").agg(F.min("draw").alias("_draw")).withColumnRenamed("token", "_token")
+        leader = few.join(first, (F.col("token") == F.col("_token")) & (F.col("draw") == F.col("_draw"))).drop("_token", "_draw", "draw")
+        tried = side(few, "a").join(side(leader, "b"), "token").filter(F.col("comp_a") != F.col("comp_b")).filter(may_link(percent))
+        links = verified(texts, stored(tried.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()), percent, size)
         if links.isEmpty():
             break
         component = absorb(component, links)
+        now = unsettled(component)
 
-    now = stored(unsettled(component))
-    parts = now.groupBy("token", "comp").agg(F.count("*").alias("k"))
+    parts = stored(now.groupBy("token", "comp").agg(F.count("*").alias("k")))
     largest = parts.groupBy("token").agg(F.max("k").alias("most")).join(parts, "token").filter("k = most").groupBy("token").agg(F.min("comp").alias("main"))
     outside = now.join(largest, "token").filter("comp <> main").drop("main")
     # Two outsiders meet twice; distinct() makes their pair one.
     rest = side(outside, "a").join(side(now, "b"), "token").filter(F.col("comp_a") != F.col("comp_b")).filter(may_link(percent))
-    pairs = rest.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
-    component = absorb(component, stored(verified(pairs, sets, percent)))
+    pairs = stored(rest.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct())
+    component = absorb(component, verified(texts, pairs, percent, size))
     found = members.join(component.withColumnRenamed("doc", "class"), "class", "left")
     return found.select(F.col("doc").cast(docs.schema[id_col].dataType).alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("class").alias("class_id"), F.coalesce("comp", "class").alias("component_id"))
