@@ -51,8 +51,8 @@ class Spark:
         return f"array_sort({array})"
 
     def placed(self, table: str, array: str) -> str:
-        """FROM item: each row of ``table`` with (at, item) of an array, at from 0."""
-        return f"{table} LATERAL VIEW posexplode({array}) e AS at, item"
+        """FROM item: each row of ``table`` with (place, item) of an array, place from 0."""
+        return f"{table} LATERAL VIEW posexplode({array}) e AS place, item"
 
     def split(self, x: str, by: str) -> str:
         return f"split({x}, {self.s(re.escape(by))})"
@@ -92,7 +92,7 @@ class Duck(Spark):
         return f"list_sort({array})"
 
     def placed(self, table: str, array: str) -> str:
-        return f"(SELECT *, generate_subscripts({array}, 1) - 1 AS at, unnest({array}) AS item FROM {table})"
+        return f"(SELECT *, generate_subscripts({array}, 1) - 1 AS place, unnest({array}) AS item FROM {table})"
 
     def split(self, x: str, by: str) -> str:
         return f"string_split({x}, {self.s(by)})"
