@@ -20,6 +20,10 @@ from pyspark.sql import types as T
 from . import hashing
 from .common import BROADCAST_LIMIT, small, stored, text_slices
 
+#: A bit table of this size goes to every task and tells most halves that one document alone holds; the join that
+#: follows is exact, so a fuller table only lets more rows through to it.
+FILTER_BITS, FILTER_BLOCK_BITS = 27, 17
+
 
 def _batches(batches: Iterator[pa.RecordBatch], length: int):
     """For each slice: document ids, the seed of each full window, the window's own hash, where it starts, its document."""
@@ -48,16 +52,54 @@ def _seeds(length: int):
     return run
 
 
-def _windows(length: int):
-    """A row for each run of full windows that share a seed, with their hashes."""
+def _bits(seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (seeds >> np.uint64(64 - FILTER_BITS)).astype(np.int64), (seeds & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+
+
+def seed_filter(shared: DataFrame) -> np.ndarray:
+    """The table of bits that the given seeds set, two each."""
+    width = 1 << (FILTER_BLOCK_BITS - 3)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            bits = np.unique(np.concatenate(_bits(np.asarray(batch.column("seed")).view(np.uint64))))
+            edges = np.searchsorted(bits, np.arange(0, (1 << FILTER_BITS) + 1, 1 << FILTER_BLOCK_BITS))
+            for block in np.flatnonzero(np.diff(edges)).tolist():
+                flags = np.zeros(1 << FILTER_BLOCK_BITS, bool)
+                flags[bits[edges[block] : edges[block + 1]] - (block << FILTER_BLOCK_BITS)] = True
+                own[block] = own.get(block, np.zeros(width, np.uint8)) | np.packbits(flags)
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([b.tobytes() for b in own.values()], pa.binary())], ["block", "bits"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, bits in zip(batch.column("block").to_pylist(), batch.column("bits").to_pylist()):
+                own[block] = own.get(block, np.zeros(width, np.uint8)) | np.frombuffer(bits, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([b.tobytes() for b in own.values()], pa.binary())], ["block", "bits"])
+
+    form = "block int, bits binary"
+    table = np.zeros((1 << (FILTER_BITS - FILTER_BLOCK_BITS), width), np.uint8)
+    for row in shared.mapInArrow(cut, form).repartition("block").mapInArrow(merge, form).collect():  # one table in all
+        table[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return table.reshape(-1)
+
+
+def _windows(length: int, table):
+    """A row for each run of full windows that share a seed, with their hashes, where the seed may be shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, seeds, hashes, place, at, doc in _batches(batches, length):
             new = np.ones(len(seeds), bool)
             new[1:] = (seeds[1:] != seeds[:-1]) | (doc[1:] != doc[:-1])
             begin = np.flatnonzero(new)
-            own = hashing.windows(hashes, length)[place].view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(seeds)).astype(np.int32)), pa.array(own))
+            size = np.diff(np.append(begin, len(seeds)))
+            ok = np.ones(len(begin), bool)
+            for at_bit in _bits(seeds[begin]):
+                ok &= (table.value[at_bit >> 3] >> (7 - (at_bit & 7)).astype(np.uint8)) & 1 == 1
+            own = hashing.windows(hashes, length)[place[np.repeat(ok, size)]].view(np.int64)
+            begin, size = begin[ok], size[ok]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(own))
             yield pa.RecordBatch.from_arrays([pa.array(seeds[begin].view(np.int64)), pa.array(ids[doc[begin]]), pa.array(at[begin].astype(np.int32)), lists], ["seed", "doc", "at", "hashes"])
 
     return run
@@ -71,8 +113,9 @@ def repeated_spans(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
     texts = docs.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     seeds = texts.mapInArrow(_seeds(length), "seed long, doc long")
     shared = seeds.groupBy("seed").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("seed")
-    shared = small(stored(shared), broadcast_limit)
-    runs = texts.mapInArrow(_windows(length), "seed long, doc long, at int, hashes array<long>").join(shared, "seed")
+    shared = stored(shared)
+    table = docs.sparkSession.sparkContext.broadcast(seed_filter(shared))
+    runs = texts.mapInArrow(_windows(length, table), "seed long, doc long, at int, hashes array<long>").join(small(shared, broadcast_limit), "seed")
     full = stored(runs.select("seed", "doc", "at", F.posexplode("hashes").alias("k", "hash")).select("seed", "hash", "doc", (F.col("at") + F.col("k")).alias("at")))
     first = full.groupBy("hash", "seed").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("hash", "seed", "first")
     again = full.join(first, ["hash", "seed"]).filter("doc > first")
