@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import bounded_batches, text_slices
 
 #: Fixed value: the pattern of byte-level BPE pre-tokenization.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -253,6 +253,7 @@ def bpe_round_trip(docs: DataFrame, path: str, decode: bool = True) -> DataFrame
     Other columns stay; columns named ``ids`` or ``decoded`` are replaced. A narrow map: no shuffle, memory bounded by
     the batch and the two dictionaries.
     """
+    bounded_batches(docs)
     made = {"ids", "decoded"} if decode else {"ids"}
     kept = [f for f in docs.schema.fields if f.name not in made]
     schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.StringType())] * decode)
@@ -271,6 +272,7 @@ def bpe_round_trip(docs: DataFrame, path: str, decode: bool = True) -> DataFrame
 
 def bpe_decode(encoded: DataFrame, path: str) -> DataFrame:
     """Every row with ``decoded``, the text of its ``ids``, special tokens included; null ids give null."""
+    bounded_batches(encoded)
     kept = [f for f in encoded.schema.fields if f.name != "decoded"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a table that may be broadcast; beyond this the same join is left to a shuffle.
-BROADCAST_LIMIT = 32 << 20
+BROADCAST_LIMIT = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,13 @@ def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     return F.broadcast(df) if stored_bytes(df) <= limit else df
 
 
+def bounded_batches(df: DataFrame, rows: int = 1000) -> None:
+    """Keeps the batches that go to Python small, for the memory of executors; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
+        df.sparkSession.conf.set(key, rows)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the column ``text`` of each holds about ``limit`` bytes, one row at least."""
     for batch in batches:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import bounded_batches, text_slices
 
 ORDERS = (1, 2, 3)
 BITS = 16
@@ -164,6 +164,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     learned. Equal scores go to the language first in order. Other columns stay. A narrow map; the model's size is
     fixed by BITS and the number of languages.
     """
+    bounded_batches(docs)
     made = ("lang_pred", "score")
     kept = [f for f in docs.schema.fields if f.name not in made]
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import hashing
-from .common import BROADCAST_LIMIT, small, stored, text_slices
+from .common import BROADCAST_LIMIT, bounded_batches, small, stored, text_slices
 
 #: A bit table of this size goes to every task and tells most halves that one document alone holds; the join that
 #: follows is exact, so a fuller table only lets more rows through to it.
@@ -110,6 +110,7 @@ def repeated_spans(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
 
     spans: merged, in order, structs of first word and end (exclusive). Documents without any have no row.
     """
+    bounded_batches(docs)
     texts = docs.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     seeds = texts.mapInArrow(_seeds(length), "seed long, doc long")
     shared = seeds.groupBy("seed").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("seed")
@@ -132,6 +133,7 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
     Words are runs of characters that aren't ASCII white space. Null texts have none; texts shorter than ``length``
     words keep all; rows of one id are taken as the same document; other columns are ignored.
     """
+    bounded_batches(docs)
     spans = small(stored(repeated_spans(docs, length, id_col, text_col, broadcast_limit)), broadcast_limit)
     kind = docs.schema[id_col].dataType
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(spans.withColumnRenamed("doc", "_doc"), F.col("doc").cast("long") == F.col("_doc"), "left").select("doc", "text", "spans")

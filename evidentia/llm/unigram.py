@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_slices
+from .common import bounded_batches, text_slices
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -107,6 +107,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     path: a sentencepiece model file, on every machine, whose pieces and scores make the unigram vocabulary. Other
     columns stay, one named ``n_tokens`` is replaced. A narrow map without a shuffle.
     """
+    bounded_batches(docs)
     kept = [f for f in docs.schema.fields if f.name != "n_tokens"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
