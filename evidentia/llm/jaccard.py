@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import small, stored, text_slices
+from .common import bounded_batches, small, stored, text_slices
 from .components import connected_components
 
 #: Counters of the frequency table; every task and the driver hold one such table.
@@ -153,6 +153,7 @@ def similar_documents(docs: DataFrame, percent: int = 90, size: int = 3, id_col:
     ASCII white space, with A-Z lower-cased. Texts without a word have no shingles and are linked with nothing;
     repeated rows each get their row; other columns are ignored. Ids are integers and not null.
     """
+    bounded_batches(docs)
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     profiles = stored(profile(texts, size, percent))
     key = ["n", "mark1", "mark2"]
@@ -160,11 +161,12 @@ def similar_documents(docs: DataFrame, percent: int = 90, size: int = 3, id_col:
     members = profiles.select("doc", *key).join(classes, key).select("doc", F.col("n"), F.when(F.col("n") > 0, F.col("class")).otherwise(F.col("doc")).alias("class"))
     members = stored(members)
     heads = stored(members.filter((F.col("doc") == F.col("class")) & (F.col("n") > 0)).select("doc").distinct())
-    own = profiles.select("doc", "n", "bins", "prefix").join(small(heads), "doc", "left_semi")
-    tokens = own.select("doc", "n", "bins", F.posexplode("prefix").alias("at", "token"))
+    own = profiles.select("doc", "prefix").join(small(heads), "doc", "left_semi")
+    tokens = own.select("doc", F.posexplode("prefix").alias("at", "token"))
     shared = stored(tokens.groupBy("token").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("token"))
-    rows = stored(tokens.join(small(shared), "token"))
-    component = stored(rows.select("doc", F.col("doc").alias("comp")).distinct())
+    met = tokens.join(small(shared), "token").join(profiles.select(F.col("doc").alias("_doc"), "n", "bins"), F.col("doc") == F.col("_doc"))
+    now = stored(met.select("token", "doc", "n", "at", "bins", F.col("doc").alias("comp")))
+    component = stored(now.select("doc", "comp").distinct())
 
     def absorb(component: DataFrame, links: DataFrame) -> DataFrame:
         """Components after some links: the parts they tie are joined, then renamed."""
@@ -173,13 +175,12 @@ def similar_documents(docs: DataFrame, percent: int = 90, size: int = 3, id_col:
         new = connected_components(stored(tied)).withColumnRenamed("node", "comp")
         return stored(component.join(new, "comp", "left").select("doc", F.coalesce("component", "comp").alias("comp")))
 
-    def unsettled(component: DataFrame) -> DataFrame:
-        """Rows of the shingles whose holders are in more than one component."""
-        placed = rows.join(small(component), "doc")
+    def unsettled(now: DataFrame, component: DataFrame) -> DataFrame:
+        """Of the given rows those of shingles whose holders are still in more than one component."""
+        placed = now.drop("comp").join(small(component), "doc")
         mixed = stored(placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token"))
         return stored(placed.join(small(mixed), "token"))
 
-    now = unsettled(component)
     for r in range(ROUNDS):
         # The same few shingles of like sets, drawn anew each round; a document's own prefix bounds what is gathered.
         drawn = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("token", F.lit(r)).alias("draw"), "token", "at"))), 1, TRIES)
@@ -192,7 +193,7 @@ def similar_documents(docs: DataFrame, percent: int = 90, size: int = 3, id_col:
         if links.isEmpty():
             break
         component = absorb(component, links)
-        now = unsettled(component)
+        now = unsettled(now, component)
 
     parts = stored(now.groupBy("token", "comp").agg(F.count("*").alias("k")))
     largest = parts.groupBy("token").agg(F.max("k").alias("most")).join(parts, "token").filter("k = most").groupBy("token").agg(F.min("comp").alias("main"))
