@@ -113,7 +113,9 @@ def revealing_terms(docs: DataFrame, text_col: str = "text", min_lines: int = 5,
     held = held.select("line_id", "values", terms_of(F.col("line")).alias("terms"))
     both = held.select("line_id", F.explode("values").alias("value"), "terms").select("line_id", "value", F.explode("terms").alias("term"))
     pairs = both.groupBy("value", "term", "line_id").agg(F.lit(1).alias("one")).groupBy("value", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_lines)
-    pairs = stored(pairs)
+    # A term stands in at least as many lines as it shares with any value, which rules out common words exactly.
+    lines_with = held.select("line_id", F.explode("terms").alias("term")).groupBy("term", "line_id").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("n_held"))
+    pairs = stored(pairs.join(lines_with, "term").filter(F.col("n_both") >= 2.0**-max_bits * F.col("n_held")).select("value", "term", "n_both"))
     wanted = stored(pairs.select("term").distinct())
     # A line's terms meet the candidates before anything is shuffled.
     seen = lines.select(F.xxhash64("line").alias("line_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0)))).alias("term")).join(small(wanted), "term")
