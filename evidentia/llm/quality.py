@@ -11,10 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small, stored
+
 WORD = r"[^\x20\x09-\x0D]+"
-#: Character classes by what a text loses without them; what is left is the last class.
-CLASSES = {"lower": "[a-z]+", "upper": "[A-Z]+", "digit": "[0-9]+", "blank": r"[\x20\x09-\x0D]+", "symbol": "[#*$%&|<>]+", "beyond": r"[^\x00-\x7F]+"}
+#: Character classes, the most frequent first, by what a text loses without them; what is left is the last class.
+#: No character is in two of them.
+CLASSES = {"lower": "[a-z]+", "blank": r"[\x20\x09-\x0D]+", "upper": "[A-Z]+", "digit": "[0-9]+", "symbol": "[#*$%&|<>]+", "beyond": r"[^\x00-\x7F]+"}
 ALL = "*"
+#: Hash slots in which words are first counted.
+SLOTS = 4096
 
 
 def words_of(text: Column) -> Column:
@@ -29,27 +34,45 @@ def repeated_words(df: DataFrame, words: str, out: str) -> DataFrame:
     df = df.withColumn("_w", F.when(n >= 3, windows).otherwise(F.array().cast("array<bigint>")))
     # Only a text in which some window repeats needs its windows in order.
     again = F.size(F.array_distinct("_w")) < F.size("_w")
-    df = df.withColumn("_s", F.when(again, F.array_sort(F.transform("_w", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    df = df.withColumn("_s", F.when(again, F.sort_array(F.transform("_w", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     hash_at = lambda j: F.get(F.col("_s"), j)["h"]
     twin = lambda x, j: F.coalesce((j > 0) & (x["h"] == hash_at(j - 1)), F.lit(False)) | F.coalesce(x["h"] == hash_at(j + 1), F.lit(False))
-    df = df.withColumn("_p", F.array_sort(F.transform(F.filter("_s", twin), lambda x: x["i"])))
+    df = df.withColumn("_p", F.sort_array(F.transform(F.filter("_s", twin), lambda x: x["i"])))
     added = F.transform("_p", lambda p, j: F.when(j == 0, F.lit(3)).otherwise(F.least(F.lit(3), p - F.get(F.col("_p"), F.greatest(j - 1, F.lit(0))))))
     return df.withColumn(out, F.coalesce(F.aggregate(added, F.lit(0), lambda a, x: a + x), F.lit(0)).cast("long")).drop("_w", "_s", "_p")
 
 
-def measure(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """Counts of each text, narrow: doc, copy (hash of the text), language, n_words, the base counts and class counts."""
-    text = F.coalesce(F.col("t"), F.lit(""))
-    df = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t"), F.coalesce(F.col(lang_col).cast("string"), F.lit(ALL)).alias("language"))
-    lost = lambda pattern: (F.length(text) - F.length(F.regexp_replace(text, pattern, ""))).cast("long")
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.select("doc", "language", F.xxhash64("t").alias("copy"), F.length(text).cast("long").alias("chars"), words_of(F.col("t")).alias("words"), lines.alias("lines"), *[lost(p).alias(c) for c, p in CLASSES.items()])
-    df = repeated_words(df, "words", "n_repeat_words")
-    other = F.col("chars") - sum((F.col(c) for c in CLASSES), F.lit(0))
-    return df.select(
-        "doc", "copy", "language", "chars", F.size("words").cast("long").alias("n_words"), (F.col("chars") - F.col("blank")).alias("word_chars"), F.col("symbol").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), "n_repeat_words", *CLASSES, other.alias("other"),
-    )
+def word_divergence(df: DataFrame, words: str, out: str) -> DataFrame:
+    """Adds the divergence of a row's words from ``_common``, the sorted (word, share) pairs of its language.
+
+    Words are sorted within the row, so each distinct one's count is the gap to the next; nothing is shuffled.
+    """
+    df = df.withColumn("_s", F.sort_array(words))
+    df = df.withColumn("_d", F.array_distinct("_s"))
+    first = lambda i: F.when(i == 0, F.lit(True)).otherwise(F.get(F.col("_s"), i) != F.get(F.col("_s"), F.greatest(i - 1, F.lit(0))))
+    df = df.withColumn("_at", F.when(F.size("_s") > 0, F.filter(F.sequence(F.lit(0), F.size("_s") - 1), first)))
+    df = df.withColumn("_names", F.transform("_common", lambda x: x["word"]))
+    df = df.withColumn("_k", F.transform(F.array_intersect("_d", "_names"), lambda w: F.struct((F.array_position("_d", w) - 1).cast("int").alias("d"), (F.array_position("_names", w) - 1).cast("int").alias("q"))))
+    count = lambda d: F.coalesce(F.get(F.col("_at"), d + 1), F.size("_s")) - F.get(F.col("_at"), d)
+    df = df.withColumn("_pq", F.transform("_k", lambda k: F.struct((count(k["d"]) / F.size("_s")).alias("p"), F.get(F.col("_common"), k["q"])["share"].alias("q"))))
+    total = lambda values, f: F.coalesce(F.aggregate(values, F.lit(0.0), lambda a, x: a + f(x)), F.lit(0.0))
+    df = df.withColumn("_p", total("_pq", lambda x: x["p"])).withColumn("_q", total("_pq", lambda x: x["q"])).withColumn("_q_all", total("_common", lambda x: x["share"]))
+    rest = divergence(F.greatest(1 - F.col("_p"), F.lit(0.0)), F.greatest(1 - F.col("_q_all"), F.lit(0.0)))
+    js = total("_pq", lambda x: divergence(x["p"], x["q"])) + (F.col("_q_all") - F.col("_q")) / 2 + rest
+    return df.withColumn(out, js).drop("_s", "_d", "_at", "_names", "_k", "_pq", "_p", "_q", "_q_all")
+
+
+def language_of(lang_col: str) -> Column:
+    return F.coalesce(F.col(lang_col).cast("string"), F.lit(ALL))
+
+
+def with_class_counts(df: DataFrame, text: str) -> DataFrame:
+    """Adds code points of each character class and ``chars``, all of them; each class is looked for in what the ones before left."""
+    df = df.withColumn("chars", F.length(text).cast("long")).withColumn("_left", F.col(text))
+    for c, pattern in CLASSES.items():
+        df = df.withColumn("_rest", F.regexp_replace("_left", pattern, ""))
+        df = df.withColumn(c, (F.length("_left") - F.length("_rest")).cast("long")).drop("_left").withColumnRenamed("_rest", "_left")
+    return df.withColumn("other", F.length("_left").cast("long")).drop("_left")
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -59,12 +82,30 @@ def divergence(p: Column, q: Column) -> Column:
 
 
 def common_words(docs: DataFrame, text_col: str, lang_col: str, min_share: float) -> DataFrame:
-    """(language, word, share): words with at least ``min_share`` of their language's words; '*' is the whole corpus."""
-    each = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit(ALL)).alias("language"), F.explode(words_of(F.col(text_col))).alias("word"))
-    counts = each.groupBy("language", "word").agg(F.count("*").alias("n"))
-    counts = counts.filter(F.col("language") != ALL).unionByName(counts.groupBy("word").agg(F.sum("n").alias("n")).withColumn("language", F.lit(ALL)))
-    totals = counts.groupBy("language").agg(F.sum("n").alias("total"))  # as many rows as languages
-    return counts.join(F.broadcast(totals), "language").filter(F.col("n") >= min_share * F.col("total")).select("language", "word", (F.col("n") / F.col("total")).alias("share"))
+    """(language, word, share): words with at least ``min_share`` of their language's words; '*' is the whole corpus.
+
+    Words are first counted by hash slot, a fixed number of them; a common word's slot is at least as common, so only
+    words of such slots are then counted themselves.
+    """
+    each = docs.select(language_of(lang_col).alias("language"), F.explode(words_of(F.col(text_col))).alias("word"))
+    each = each.withColumn("slot", F.pmod(F.xxhash64("word"), F.lit(SLOTS)).cast("int"))
+    by_slot = each.groupBy("language", "slot").agg(F.count("*").alias("n"))
+    by_slot = stored(by_slot.filter(F.col("language") != ALL).unionByName(by_slot.groupBy("slot").agg(F.sum("n").alias("n")).withColumn("language", F.lit(ALL)).select("language", "slot", "n")))
+    totals = stored(by_slot.groupBy("language").agg(F.sum("n").alias("total")))  # as many rows as languages
+    likely = stored(by_slot.join(small(totals), "language").filter(F.col("n") >= min_share * F.col("total")).select("slot").distinct())
+    counts = each.join(small(likely), "slot").groupBy("language", "word").agg(F.count("*").alias("n"))
+    counts = counts.filter(F.col("language") != ALL).unionByName(counts.groupBy("word").agg(F.sum("n").alias("n")).withColumn("language", F.lit(ALL)).select("language", "word", "n"))
+    return counts.join(small(totals), "language").filter(F.col("n") >= min_share * F.col("total")).select("language", "word", (F.col("n") / F.col("total")).alias("share"))
+
+
+def class_shares(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """(language, q_class...): shares of the character classes in each language; '*' is the whole corpus."""
+    each = with_class_counts(docs.select(language_of(lang_col).alias("language"), F.coalesce(F.col(text_col), F.lit("")).alias("t")), "t").drop("t")
+    names = ["chars", *CLASSES, "other"]
+    by_language = each.groupBy("language").agg(*[F.sum(c).alias(c) for c in names])
+    whole = by_language.groupBy(F.lit(ALL).alias("language")).agg(*[F.sum(c).alias(c) for c in names])
+    shares = by_language.filter(F.col("language") != ALL).unionByName(whole)
+    return shares.select("language", *[F.coalesce(F.try_divide(F.col(c), F.col("chars")), F.lit(0.0)).alias(f"q_{c}") for c in names[1:]])
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_share: float = 0.005, min_words: int = 100, max_class_distance: float = 0.26, max_word_distance: float = 0.28) -> DataFrame:
@@ -73,39 +114,27 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Distances are square roots of divergences in bits, 0 to 1, null for texts of fewer than ``min_words`` words, which
     they don't judge. Null texts count as empty and fail; repeated rows each get their row; other columns are ignored.
+    Only the languages' references are shuffled; every text is then judged where it lies.
     """
-    base = measure(docs, id_col, text_col, lang_col)
-    names = [*CLASSES, "other"]
-    by_language = base.groupBy("language").agg(*[F.sum(c).alias(c) for c in names])
-    whole = by_language.select(F.lit(ALL).alias("language"), *[F.col(c) for c in names]).groupBy("language").agg(*[F.sum(c).alias(c) for c in names])
-    classes = by_language.filter(F.col("language") != ALL).unionByName(whole)
-    every = sum((F.col(c) for c in names), F.lit(0))
-    classes = classes.select("language", *[F.coalesce(F.col(c) / every, F.lit(0.0)).alias(f"q_{c}") for c in names])
-
-    reference = common_words(docs, text_col, lang_col, min_share)
-    each = docs.select(
-        F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("copy"), F.coalesce(F.col(lang_col).cast("string"), F.lit(ALL)).alias("language"), F.explode(words_of(F.col(text_col))).alias("word")
-    )
-    # A word of the reference: at most 1 / min_share a language, so the broadcast side is bounded.
-    hits = each.join(F.broadcast(reference), ["language", "word"]).groupBy("doc", "copy", "language", "word").agg(F.count("*").alias("n"), F.first("share").alias("share"))
-    # Copies of one row double every count of theirs; the base rows say how many there are.
-    base = base.withColumn("_key", F.coalesce(F.col("doc").cast("string"), F.lit("")))
-    hits = hits.withColumn("_key", F.coalesce(F.col("doc").cast("string"), F.lit("")))
-    rows = base.groupBy("_key", "copy", "language").agg(*[F.first(c).alias(c) for c in ("doc", "chars", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *names)], F.count("*").alias("rows"))
-    terms = hits.join(rows.select("_key", "copy", "language", "n_words", "rows"), ["_key", "copy", "language"])
-    p = F.col("n") / (F.col("n_words") * F.col("rows"))
-    sums = terms.groupBy("_key", "copy", "language").agg(F.sum(divergence(p, F.col("share"))).alias("js"), F.sum(p).alias("p"), F.sum("share").alias("q"))
-    rest = reference.groupBy("language").agg(F.sum("share").alias("q_all"))
-    found = rows.join(sums, ["_key", "copy", "language"], "left").join(F.broadcast(classes), "language", "left").join(F.broadcast(rest), "language", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    word_js = zero("js") + (zero("q_all") - zero("q")) / 2 + divergence(F.greatest(1 - zero("p"), F.lit(0.0)), F.greatest(1 - zero("q_all"), F.lit(0.0)))
-    class_js = sum((divergence(F.col(c) / F.greatest(F.col("chars"), F.lit(1)), F.coalesce(F.col(f"q_{c}"), F.lit(0.0))) for c in names), F.lit(0.0))
+    common = common_words(docs, text_col, lang_col, min_share).groupBy("language").agg(F.sort_array(F.collect_list(F.struct("word", "share"))).alias("_common"))
+    # At most 1 / min_share words and one row of shares a language.
+    classes = small(stored(class_shares(docs, text_col, lang_col).withColumnRenamed("language", "_of")))
+    common = small(stored(common.withColumnRenamed("language", "_in")))
+
+    df = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), language_of(lang_col).alias("language"))
+    df = df.join(classes, F.col("language") == F.col("_of"), "left").join(common, F.col("language") == F.col("_in"), "left")
+    lines = F.filter(F.split(F.col("t"), "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
+    shares = [f"q_{c}" for c in (*CLASSES, "other")]
+    df = with_class_counts(df, "t").select("doc", "_common", *shares, "chars", *CLASSES, "other", words_of(F.col("t")).alias("words"), lines.alias("lines"))
+    df = df.withColumn("n_words", F.size("words").cast("long")).withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).drop("lines")
+    df = word_divergence(repeated_words(df, "words", "n_repeat_words"), "words", "word_js")
+    class_js = sum((divergence(F.col(c) / F.greatest(F.col("chars"), F.lit(1)), F.coalesce(F.col(f"q_{c}"), F.lit(0.0))) for c in (*CLASSES, "other")), F.lit(0.0))
     long_enough = F.col("n_words") >= min_words
     distance = lambda js: F.when(long_enough, F.round(F.sqrt(F.greatest(js, F.lit(0.0))), 9))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    out = found.select(
-        F.col("doc").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), distance(class_js).alias("class_distance"), distance(word_js).alias("word_distance"),
-        F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("_row"),
-    ).drop("_row")
+    out = df.select(
+        F.col("doc").alias(id_col), "n_words", (F.col("chars") - F.col("blank")).alias("word_chars"), F.col("symbol").alias("n_symbols"), "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        distance(class_js).alias("class_distance"), distance(F.col("word_js")).alias("word_distance"),
+    )
     usual = (F.coalesce(F.col("class_distance"), F.lit(0.0)) <= max_class_distance) & (F.coalesce(F.col("word_distance"), F.lit(0.0)) <= max_word_distance)
     return out.withColumn("kept", ~F.col("base_failed") & usual)
