@@ -89,11 +89,12 @@ def common_words(docs: DataFrame, text_col: str, lang_col: str, min_share: float
     """
     each = docs.select(language_of(lang_col).alias("language"), F.explode(words_of(F.col(text_col))).alias("word"))
     each = each.withColumn("slot", F.pmod(F.xxhash64("word"), F.lit(SLOTS)).cast("int"))
-    by_slot = each.groupBy("language", "slot").agg(F.count("*").alias("n"))
+    # Stored before its parts are told apart, so that the texts are read once.
+    by_slot = stored(each.groupBy("language", "slot").agg(F.count("*").alias("n")))
     by_slot = stored(by_slot.filter(F.col("language") != ALL).unionByName(by_slot.groupBy("slot").agg(F.sum("n").alias("n")).withColumn("language", F.lit(ALL)).select("language", "slot", "n")))
     totals = stored(by_slot.groupBy("language").agg(F.sum("n").alias("total")))  # as many rows as languages
     likely = stored(by_slot.join(small(totals), "language").filter(F.col("n") >= min_share * F.col("total")).select("slot").distinct())
-    counts = each.join(small(likely), "slot").groupBy("language", "word").agg(F.count("*").alias("n"))
+    counts = stored(each.join(small(likely), "slot").groupBy("language", "word").agg(F.count("*").alias("n")))
     counts = counts.filter(F.col("language") != ALL).unionByName(counts.groupBy("word").agg(F.sum("n").alias("n")).withColumn("language", F.lit(ALL)).select("language", "word", "n"))
     return counts.join(small(totals), "language").filter(F.col("n") >= min_share * F.col("total")).select("language", "word", (F.col("n") / F.col("total")).alias("share"))
 
@@ -102,7 +103,7 @@ def class_shares(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """(language, q_class...): shares of the character classes in each language; '*' is the whole corpus."""
     each = with_class_counts(docs.select(language_of(lang_col).alias("language"), F.coalesce(F.col(text_col), F.lit("")).alias("t")), "t").drop("t")
     names = ["chars", *CLASSES, "other"]
-    by_language = each.groupBy("language").agg(*[F.sum(c).alias(c) for c in names])
+    by_language = stored(each.groupBy("language").agg(*[F.sum(c).alias(c) for c in names]))
     whole = by_language.groupBy(F.lit(ALL).alias("language")).agg(*[F.sum(c).alias(c) for c in names])
     shares = by_language.filter(F.col("language") != ALL).unionByName(whole)
     return shares.select("language", *[F.coalesce(F.try_divide(F.col(c), F.col("chars")), F.lit(0.0)).alias(f"q_{c}") for c in names[1:]])
