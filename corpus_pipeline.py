@@ -19,6 +19,8 @@ from evidentia.llm.queries import tokenizer_file
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A prediction below this is no language.
 LEAST_SCORE = 0.5
+#: Near copies share at least so many hundredths of their runs of so many words; the query op8 has limits of its own.
+NEAR_PERCENT, NEAR_WORDS = 80, 5
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +31,7 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of linked documents the one with the smallest id."""
-    groups = similar_documents(docs)
+    groups = similar_documents(docs, percent=NEAR_PERCENT, size=NEAR_WORDS)
     return docs.join(groups.filter(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
 
 

@@ -214,3 +214,13 @@ def test_pipeline(spark):
         assert docs.columns == list(P.COLUMNS), name
         assert docs.count() <= before.count()
     assert P.run(spark, SF).count() == docs.count()
+
+
+def test_pipeline_drops_copies_with_a_replaced_block(spark):
+    import corpus_pipeline as P
+
+    base = [f"w{i}" for i in range(200)]
+    block = base[:80] + [f"new{i}" for i in range(15)] + base[95:]  # 0.82 of the runs of five words, 0.84 of those of three
+    far = base[:60] + [f"other{i}" for i in range(60)] + base[120:]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 0) for i, t in enumerate((base, block, far))], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["doc_id"] for r in P.near_copies(spark, docs, SF).collect()) == [0, 2]
