@@ -1,9 +1,10 @@
 """Main text of web pages by tree scoring.
 
 Paragraph-like blocks pass points for their length and commas to their ancestors, halved for each step up. A
-container's points are discounted by its link density; the best container is kept, with those of its siblings that
-score near it or read like prose. Parts that are never main text (menus, forms, scripts, notices, comments of
-readers and so on) are left out beforehand by tag, role, class or id.
+container's points are discounted by its link density, and an article has all points below it however deep they lie;
+the best container is kept, with those of its siblings that score near it or read like prose. Parts that are never
+main text (menus, forms, scripts, notices, comments of readers and so on) are left out beforehand by tag, role, class
+or id.
 """
 
 from __future__ import annotations
@@ -40,12 +41,12 @@ BLANK = re.compile(r"[\s ]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "points", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "dropped", "points", "below", "chars", "linked")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool):
         self.tag, self.parent, self.dropped = tag, parent, dropped
         self.children: list[Node | str] = []
-        self.points, self.chars, self.linked = 0.0, 0, 0
+        self.points, self.below, self.chars, self.linked = 0.0, 0.0, 0, 0
 
 
 class Tree(HTMLParser):
@@ -66,7 +67,7 @@ class Tree(HTMLParser):
             node = node.parent
         marks = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
-        dropped = self.at.dropped or hidden or (tag == "header" and not self._inside("article")) or (tag in DROPPED and tag != "header") or (tag not in ("html", "body", "article", "main") and bool(marks and ASIDE.search(marks)))
+        dropped = self.at.dropped or hidden or (tag == "header" and not self._inside("article")) or (tag in DROPPED and tag != "header") or (tag not in ("html", "body", "main") and bool(marks and ASIDE.search(marks)))
         node = Node(tag, self.at, dropped)
         self.at.children.append(node)
         if tag not in VOID:
@@ -102,7 +103,7 @@ def walk(node: Node) -> Iterator[Node]:
 
 
 def weigh(root: Node) -> list[Node]:
-    """Sets chars, linked chars and points of every kept node; gives the nodes, parents first."""
+    """Sets chars, linked chars, points and all points below of every kept node; gives the nodes, parents first."""
     nodes = list(walk(root))
     own: dict[int, list[str]] = {}
     for node in reversed(nodes):
@@ -110,12 +111,14 @@ def weigh(root: Node) -> list[Node]:
         kids = [c for c in node.children if isinstance(c, Node) and not c.dropped]
         node.chars = len(BLANK.sub(" ", text).strip()) + sum(k.chars for k in kids)
         node.linked = node.chars if node.tag == "a" else sum(k.linked for k in kids)
+        node.below = sum(k.below for k in kids)
         inline = [t for k in kids if k.tag not in BLOCKS for t in own.get(id(k), ())]
         own[id(node)] = [text, *inline]
         if node.tag in SCORED:
             run = " ".join(own[id(node)])
             if run.strip():
                 points, up = 1 + len(run.strip()) / 100 + run.count(",") + run.count("،") + run.count("、"), node.parent
+                node.below += points
                 for share in (1.0, 0.5, 0.25):
                     if up is None:
                         break
@@ -128,6 +131,10 @@ def density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
 
+def score(node: Node) -> float:
+    return (node.below if node.tag == "article" else node.points) * (1 - density(node))
+
+
 def blocks(nodes: list[Node]) -> list[str]:
     """Texts of the blocks below the given nodes, in page order, white space turned into one space."""
     out: list[list[str]] = [[]]
@@ -160,17 +167,14 @@ def main_text(html: str) -> str:
     holders = [n for n in nodes if n.tag in BLOCKS and n.chars]
     if not holders:
         return "\n\n".join(blocks([tree.root]))
-    # An element that says it is the article is the container if it alone does so.
-    named = [n for n in holders if n.tag == "article"]
-    best = named[0] if len(named) == 1 else max(holders, key=lambda n: n.points * (1 - density(n)))
-    score, kept = best.points * (1 - density(best)), []
+    best, kept = max(holders, key=score), []
     if best.parent is None or best.tag in ("article", "body", "html", "main"):
         kept = [best]
     else:
         for node in best.parent.children:
             if not isinstance(node, Node) or node.dropped:
                 continue
-            near = node.points * (1 - density(node)) >= max(10.0, 0.2 * score)
+            near = score(node) >= max(10.0, 0.2 * score(best))
             prose = node.tag in ("p", "pre", "blockquote") and node.chars > 80 and density(node) < 0.25
             heading = node.tag in ("h1", "h2", "h3") and density(node) < 0.5
             if node is best or near or prose or heading:

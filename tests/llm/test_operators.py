@@ -179,6 +179,19 @@ def test_main_text(spark):
     assert extract_main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("other", ['<article class="comment"><p>A reader wrote, at length, nothing.</p></article>', "<article><h3>Next</h3><p>A teaser, short.</p></article>"])
+def test_main_text_beside_the_only_article(other):
+    entry = "<p>" + "Long text, with commas, and words. " * 5 + "</p><p>" + "More text, again, and again. " * 5 + "</p>"
+    found = main_text(f'<html><body><div class="entry">{entry}</div>{other}</body></html>')
+    assert found.startswith("Long text") and found.count("\n\n") == 1 and "reader" not in found and "teaser" not in found
+
+
+def test_main_text_of_an_article_in_sections():
+    parts = "".join(f"<section><h2>Part {i}</h2><div><p>{'Words, and more of them. ' * n}</p></div></section>" for i, n in enumerate((30, 1, 2)))
+    found = main_text(f"<body><article><h1>Title</h1>{parts}</article><div><p>Beside it.</p></div></body>")
+    assert found.startswith("Title") and found.count("Part") == 3 and found.count("Words") == 33 and "Beside" not in found
+
+
 def test_languages(spark, awkward, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
     model = train(docs.filter("NOT held"))
