@@ -4,7 +4,7 @@ Paragraph-like blocks pass points for their length and commas to their ancestors
 container's points are discounted by its link density, and an article has all points below it however deep they lie;
 the best container is kept, with those of its siblings that score near it or read like prose. Parts that are never
 main text (menus, forms, scripts, notices, comments of readers and so on) are left out beforehand by tag, role, class
-or id.
+or id, unless a part so named holds most of the page's points.
 """
 
 from __future__ import annotations
@@ -31,30 +31,45 @@ ENDS = {
     "p": BLOCKS, "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "option": frozenset(("option",)),
     "tr": frozenset(("tr", "tbody", "tfoot")), "td": frozenset(("td", "th", "tr", "tbody", "tfoot")), "th": frozenset(("td", "th", "tr", "tbody", "tfoot")),
 }
-#: Words in a class, id or role that mark parts beside the article.
+#: Words in a class, id or role that mark parts beside the article. A name counts if it consists of them, PLACED aside.
+OTHERS = r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|comments?|commentlist|disqus|replies|reply|respond"
 ASIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|comments?|commentlist|disqus|replies|reply|respond|sidebar|side-bar|widget\w*|menu|nav\w*|"
-    r"breadcrumbs?|footer|header|masthead|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|popup|modal|overlay|pagination|pager|tags|toolbar|search|skip|complementary|contentinfo)(?:$|[\s_-])",
+    r"(?:notices?|alert|sidebar|side|widget\w*|menu|nav|navbar|navigation|"
+    r"breadcrumbs?|footer|header|masthead|share|sharing|social|related|recommended|newsletter|subscribe|signup|login|popup|modal|overlay|pagination|pager|tags|toolbar|search|skip|complementary|contentinfo|"
+    + OTHERS + ")",
     re.I,
-)
+)
+BY_OTHERS = re.compile(OTHERS, re.I)
+PLACED = frozenset("site top bottom left right list box bar wrap wrapper container block area links buttons posts items slot unit global primary secondary main user post".split())
 BLANK = re.compile(r"[\s ]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "points", "below", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "dropped", "points", "below", "chars", "linked", "aside")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, aside: str = ""):
+        self.tag, self.parent, self.dropped, self.aside = tag, parent, dropped, aside
         self.children: list[Node | str] = []
         self.points, self.below, self.chars, self.linked = 0.0, 0.0, 0, 0
 
 
+def aside(marks: str) -> str:
+    """``others`` (what readers or advertisers wrote) or ``page`` if a name among the marks is of a part beside the article."""
+    found = ""
+    for name in marks.split():
+        words = [w for w in re.split("[_-]+", name) if w and w.lower() not in PLACED]
+        if words and all(ASIDE.fullmatch(w) for w in words):
+            found = "others" if any(BY_OTHERS.fullmatch(w) for w in words) else found or "page"
+    return found
+
+
 class Tree(HTMLParser):
     """A forgiving tree: unclosed elements end with what encloses them."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", None, False)
+        self.marked = False
 
     def handle_starttag(self, tag, attrs):
         node = self.at
@@ -67,14 +82,18 @@ class Tree(HTMLParser):
             node = node.parent
         marks = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
-        dropped = self.at.dropped or hidden or (tag == "header" and not self._inside("article")) or (tag in DROPPED and tag != "header") or (tag not in ("html", "body", "main") and bool(marks and ASIDE.search(marks)))
-        node = Node(tag, self.at, dropped)
+        dropped = self.at.dropped or hidden or (tag == "header" and not self._inside("article")) or (tag in DROPPED and tag != "header")
+        node = Node(tag, self.at, dropped, aside(marks) if marks and not dropped and tag not in ("html", "body", "main") else "")
+        self.marked |= bool(node.aside)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
 
     def _inside(self, tag: str) -> bool:
-        return False
+        node = self.at
+        while node is not None and node.tag != tag:
+            node = node.parent
+        return node is not None
 
     def handle_endtag(self, tag):
         if tag in VOID:
@@ -105,6 +124,8 @@ def walk(node: Node) -> Iterator[Node]:
 def weigh(root: Node) -> list[Node]:
     """Sets chars, linked chars, points and all points below of every kept node; gives the nodes, parents first."""
     nodes = list(walk(root))
+    for node in nodes:
+        node.points = 0.0
     own: dict[int, list[str]] = {}
     for node in reversed(nodes):
         text = "".join(c for c in node.children if isinstance(c, str))
@@ -127,6 +148,17 @@ def weigh(root: Node) -> list[Node]:
     return nodes
 
 
+def drop_asides(root: Node, nodes: list[Node]) -> None:
+    """Drops the parts marked as beside the article, except what holds most of the page's points.
+
+    What readers or advertisers wrote may well be longer than the article; it stays only where the rest has no points.
+    """
+    for node in nodes:
+        if node.aside:
+            rest = root.below - node.below
+            node.dropped = rest > 1e-9 * root.below if node.aside == "others" else 2 * node.below <= root.below
+
+
 def density(node: Node) -> float:
     return node.linked / node.chars if node.chars else 0.0
 
@@ -164,6 +196,9 @@ def main_text(html: str) -> str:
     tree.feed(html)
     tree.close()
     nodes = weigh(tree.root)
+    if tree.marked:
+        drop_asides(tree.root, nodes)
+        nodes = weigh(tree.root)
     holders = [n for n in nodes if n.tag in BLOCKS and n.chars]
     if not holders:
         return "\n\n".join(blocks([tree.root]))

@@ -192,6 +192,24 @@ def test_main_text_of_an_article_in_sections():
     assert found.startswith("Title") and found.count("Part") == 3 and found.count("Words") == 33 and "Beside" not in found
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "site-content no-sidebar", "page with-sidebar", "single-post search", "search"])
+def test_main_text_in_a_wrapper_named_like_an_aside(name):
+    entry = "<p>" + "Long text, with commas, and words. " * 5 + "</p><p>" + "More text, again, and again. " * 5 + "</p>"
+    found = main_text(f'<body><div class="site-footer"><p>Imprint.</p></div><div class="{name}"><div class="entry">{entry}</div><div class="cookie-notice"><p>We use cookies.</p></div></div></body>')
+    assert found.startswith("Long text") and found.count("\n\n") == 1 and "cookies" not in found and "Imprint" not in found
+
+
+def test_main_text_keeps_headers_of_the_article_only():
+    body = "<p>" + "Long text, with commas, and words. " * 5 + "</p>"
+    assert main_text(f"<body><header><p>Site</p></header><article><header><h1>Title</h1></header>{body}</article></body>").split("\n\n")[0] == "Title"
+    assert main_text(f'<body><article><div class="entry-header"><h1>Title</h1></div>{body}</article></body>').startswith("Title")
+
+
+def test_main_text_without_long_comments():
+    body, thread = "<p>" + "Long text, with commas, and words. " * 5 + "</p>", "<p>" + "A reader, who wrote, at length. " * 9 + "</p>"
+    assert "reader" not in main_text(f'<body><article>{body}</article><div id="comments" class="comment-list">{thread * 9}</div></body>')
+
+
 def test_languages(spark, awkward, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
     model = train(docs.filter("NOT held"))
