@@ -2,9 +2,10 @@
 
 Base finds e-mail addresses, IP addresses, payment cards and phone numbers. The method then asks of every term that
 stands in one line with a protected value how much it reveals: over all distinct lines of the corpus, the value's
-information left once the term is known is -log2(lines with both / lines with the term). A term seen with the value in
-at least ``min_lines`` distinct lines that leaves at most ``max_bits`` exceeds the disclosure threshold and is marked
-wherever it stands. Lines are counted once however often they are copied.
+information left once the term is known is -log2(lines with both / (lines with the term + 1)). The one line more stands
+for those not seen, so the fewer lines there are, the more of them must agree. A term seen with the value in two distinct
+lines or more that leaves at most ``max_bits`` exceeds the disclosure threshold and is marked wherever it stands; one
+line alone says nothing of the two. Lines are counted once however often they are copied.
 
 Everything is DataFrame expressions. Positions come from the gaps between matches, summed in blocks, so a text with
 many matches costs no more than its length.
@@ -29,7 +30,7 @@ PATTERNS = {
 #: A text without this can't hold the kind.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
 KINDS = tuple(PATTERNS)
-TERM = r"[\p{L}\p{N}]{3,40}"
+TERM = r"[\p{L}\p{N}]{2,40}"
 BLOCK = 256
 
 
@@ -98,10 +99,10 @@ def lines_of(docs: DataFrame, text_col: str) -> DataFrame:
     return docs.select(F.explode(F.split(F.col(text_col), "\n")).alias("line")).filter(F.length("line") > 0)
 
 
-def revealing_terms(docs: DataFrame, text_col: str = "text", min_lines: int = 5, max_bits: float = 1.0) -> DataFrame:
+def revealing_terms(docs: DataFrame, text_col: str = "text", max_bits: float = 1.0) -> DataFrame:
     """(term, value, n_both, n_term, bits): terms whose presence leaves at most ``max_bits`` of a value's information.
 
-    Candidates are terms that share at least ``min_lines`` distinct lines with one value; only those are then counted
+    Candidates are terms that share two distinct lines or more with one value; only those are then counted
     over the whole corpus. Every step aggregates in parts before its shuffle, so one value in a third of all lines is
     spread like any other.
     """
@@ -112,15 +113,15 @@ def revealing_terms(docs: DataFrame, text_col: str = "text", min_lines: int = 5,
     held = held.select("line", F.xxhash64("line").alias("line_id"), values.alias("values")).filter(F.size("values") > 0)
     held = held.select("line_id", "values", terms_of(F.col("line")).alias("terms"))
     both = held.select("line_id", F.explode("values").alias("value"), "terms").select("line_id", "value", F.explode("terms").alias("term"))
-    pairs = both.groupBy("value", "term", "line_id").agg(F.lit(1).alias("one")).groupBy("value", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= min_lines)
+    pairs = both.groupBy("value", "term", "line_id").agg(F.lit(1).alias("one")).groupBy("value", "term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= 2)
     # A term stands in at least as many lines as it shares with any value, which rules out common words exactly.
     lines_with = held.select("line_id", F.explode("terms").alias("term")).groupBy("term", "line_id").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("n_held"))
-    pairs = stored(pairs.join(lines_with, "term").filter(F.col("n_both") >= 2.0**-max_bits * F.col("n_held")).select("value", "term", "n_both"))
+    pairs = stored(pairs.join(lines_with, "term").filter(F.col("n_both") >= 2.0**-max_bits * (F.col("n_held") + 1)).select("value", "term", "n_both"))
     wanted = stored(pairs.select("term").distinct())
     # A line's terms meet the candidates before anything is shuffled.
     seen = lines.select(F.xxhash64("line").alias("line_id"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0)))).alias("term")).join(small(wanted), "term")
     counts = seen.groupBy("term", "line_id").agg(F.lit(1).alias("one")).groupBy("term").agg(F.count("*").alias("n_term"))
-    bits = -F.log2(F.col("n_both") / F.greatest(F.col("n_term"), F.col("n_both")))
+    bits = -F.log2(F.col("n_both") / (F.greatest(F.col("n_term"), F.col("n_both")) + 1))
     return pairs.join(counts, "term").withColumn("bits", bits).filter(F.col("bits") <= max_bits)
 
 
@@ -139,14 +140,14 @@ def term_spans(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) ->
     return per.select("doc", "copy", spans.alias("found"))
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 5, max_bits: float = 1.0) -> DataFrame:
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: float = 1.0) -> DataFrame:
     """One row for each row of ``docs``: id, base and spans (arrays of start, kind, end, value), and counts by kind.
 
     Kinds are numbered as in KINDS, then ``term``; positions are code points, the end exclusive. Null or empty texts
     have no spans; repeated rows each get their row; other columns are ignored. The method's spans that overlap a base
     one are left out, so every base span stays as it is.
     """
-    terms = stored(revealing_terms(docs, text_col, min_lines, max_bits).select("term").distinct())
+    terms = stored(revealing_terms(docs, text_col, max_bits).select("term").distinct())
     base = base_spans(docs, id_col, text_col).select("doc", "copy", "base", *[F.size(f"m_{k}").cast("long").alias(f"n_{k}") for k in KINDS])
     extra = term_spans(docs, terms, id_col, text_col)
     null_safe = F.coalesce(F.col("doc").cast("string"), F.lit(""))
@@ -162,12 +163,12 @@ def spelled(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 5, max_bits: float = 1.0) -> DataFrame:
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: float = 1.0) -> DataFrame:
     """``docs`` with every span in ``text`` generalised to its kind in brackets; all columns and rows stay.
 
     Overlapping spans become one, named after the first. Null text stays null; texts without spans are unchanged.
     """
-    terms = stored(revealing_terms(docs, text_col, min_lines, max_bits).select("term").distinct())
+    terms = stored(revealing_terms(docs, text_col, max_bits).select("term").distinct())
     extra = term_spans(docs, terms, id_col, text_col).select(F.coalesce(F.col("doc").cast("string"), F.lit("")).alias("_k2"), F.col("copy").alias("_c2"), "found").withColumnRenamed("found", "_found")
     df = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
     df = reduce(lambda d, kind: add_matches(d, "_t", kind), KINDS, df)

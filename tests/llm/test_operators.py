@@ -101,6 +101,13 @@ def test_terms_that_give_a_value_away(spark):
     assert "zzyzx" not in redact(docs).filter("doc_id = 3").first()["text"]
 
 
+def test_terms_beside_a_value_in_few_lines(spark):
+    lines = [f"filler{i} qwxyz bo wrote from rare@home.org" for i in range(2)] + [f"single{i} once from one{i}@home.org" for i in range(2)] + [f"plain words wrote from day{i}" for i in range(9)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in redact(docs).collect()}
+    assert clean == {0: "filler0 [TERM] [TERM] wrote from [EMAIL]", 1: "filler1 [TERM] [TERM] wrote from [EMAIL]", 2: "single0 once from [EMAIL]", 3: "single1 once from [EMAIL]"} | {i: lines[i] for i in range(4, 13)}
+
+
 def test_pii_spans_in_runs(spark):
     own = [(0, "a@b.c_d@e.f 1.2.3.4.5.6.7.8 256.1.1.1 x@y " + "1." * 500), (1, " ".join(f"{i % 256}.0.0.1" for i in range(1500)))]
     found = find_personal_data(spark.createDataFrame(own, "doc_id long, text string")).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", spelled("base"))
