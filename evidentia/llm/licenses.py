@@ -1,7 +1,8 @@
 """License scan: TF-IDF cosine of notices to templates, then inheritance from the nearest directory above.
 
-A notice is a line that mentions licensing. Its terms are weighed by frequency and by how rare they are among the
-templates, and compared with each template's vector; the best one above the threshold is the line's license. A file
+A notice is a line, a sentence over line ends, or a window of terms around a word of licensing; short texts and licence
+files are also compared whole. Its terms are weighed by frequency and by how rare they are among the
+templates, and compared with each template's vector; the best one above the threshold is the file's license. A file
 that is mostly such a notice, or has the name of a licence file, speaks for its directory; a file without a notice of
 its own takes the license of the nearest directory above that has one. Everything is DataFrame expressions.
 """
@@ -17,7 +18,13 @@ from pyspark.sql import functions as F
 
 from .common import small, stored
 
-#: Short notices of public licenses.
+#: Tags by which SPDX names each license.
+SPDX = {name: (name,) for name in ("MIT", "Apache-2.0", "BSD-3-Clause", "BSD-2-Clause", "MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "Unlicense")}
+SPDX |= {name: (name, f"{name}-only", f"{name}-or-later") for name in ("GPL-3.0", "GPL-2.0", "LGPL-3.0", "AGPL-3.0")}
+_AS_IS_MIT = "The Software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the Software or the use or other dealings in the Software."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_AS_IS_BSD = "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed."
+#: Short notices of public licenses, titles and opening texts of licence files, and SPDX tags.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
@@ -38,9 +45,29 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under the Creative Commons Attribution-NonCommercial 4.0 license."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("MIT", "The MIT License (MIT)"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS_MIT),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("BSD-2-Clause", _BSD + _AS_IS_BSD),
+    ("BSD-3-Clause", _BSD + "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _AS_IS_BSD),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    *((name, f"SPDX-License-Identifier: {tag}") for name, tags in SPDX.items() for tag in tags),
 )
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 CUE = r"(?i)licen[cs]e|copyright|public domain|permission is hereby granted|redistribut"
+#: Terms around which windows are laid: (length, how far before the term it begins). Texts up to SHORT terms are compared whole.
+CUE_TERM = r"^(?:licen[cs]e[ds]?|licensing|copyright|permission|redistribut\w*|domain)$"
+WINDOWS = tuple((9, k) for k in (0, 2, 3, 4, 6)) + tuple((20, k) for k in (0, 5, 10, 15)) + tuple((36, k) for k in (0, 9, 18, 27))
+SHORT = 400
 #: Names of files that hold a license for their directory.
 FILE_NAME = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense)(?:[.-][a-z0-9.-]*)?$"
 
@@ -64,21 +91,33 @@ def template_terms(df: DataFrame) -> DataFrame:
 def notices(files: DataFrame, threshold: float) -> DataFrame:
     """(path, copy, license, score, line, share): the best notice of each file that has one.
 
-    share: the part of the file's terms that stand in lines with notices.
+    share: the part of the file's terms that stand in lines with notices; all of a text that is a template's.
     """
-    some = files.filter(F.col("text").rlike(CUE)).select("path", "copy", F.size(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0))).alias("all_terms"), F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    some = some.filter(F.col("words").rlike(CUE)).select("path", "copy", "all_terms", "line", F.regexp_extract_all(F.lower("words"), F.lit(TERM), F.lit(0)).alias("terms"))
-    each = some.select("path", "copy", "all_terms", "line", F.size("terms").alias("own_terms"), F.explode("terms").alias("term"))
-    counted = each.groupBy("path", "copy", "line", "term").agg(F.count("*").alias("k"), F.first("all_terms").alias("all_terms"), F.first("own_terms").alias("own_terms"))
+    found = lambda text: F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+    some = files.filter(F.col("text").rlike(CUE)).select("path", "copy", "text", found(F.col("text")).alias("all")).withColumn("all_terms", F.size("all"))
+    # Kinds: 0 a line, 1 a sentence, 2 a window, 3 the whole text; each part is the terms of one candidate.
+    told = lambda pattern, text: F.transform(F.filter(F.split(text, pattern), lambda x: x.rlike(CUE)), found)
+    at = F.filter(F.transform("all", lambda t, i: F.when(t.rlike(CUE_TERM), i)), lambda i: i.isNotNull())
+    places = F.array_distinct(F.flatten(F.transform(at, lambda i: F.array(*[F.struct(F.greatest(i - back, F.lit(0)).alias("start"), F.lit(n).alias("n")) for n, back in WINDOWS]))))
+    whole = F.when(F.col("path").rlike(FILE_NAME) | (F.col("all_terms") <= SHORT), F.array("all")).otherwise(F.expr("CAST(array() AS array<array<string>>)"))
+    some = some.withColumn("places", places)
+    kinds = (told("\n", F.col("text")), told(r"[.!?;:](?=\s|$)|\n\s*\n", F.col("text")), F.transform("places", lambda w: F.slice(F.col("all"), w["start"] + 1, w["n"])), whole)
+    tagged = lambda x, k: F.transform(x, lambda terms: F.struct(F.lit(k).alias("kind"), terms.alias("terms")))
+    parts = F.concat(*[tagged(F.array_distinct(x) if k else x, k) for k, x in enumerate(kinds)])
+    some = some.select("path", "copy", "all_terms", F.posexplode(parts).alias("line", "part")).select("path", "copy", "all_terms", "line", "part.kind", "part.terms")
+    each = some.select("path", "copy", "all_terms", "line", "kind", F.size("terms").alias("own_terms"), F.explode("terms").alias("term"))
+    counted = each.groupBy("path", "copy", "line", "term").agg(F.count("*").alias("k"), F.first("all_terms").alias("all_terms"), F.first("own_terms").alias("own_terms"), F.first("kind").alias("kind"))
     weighed = counted.join(F.broadcast(template_terms(files)), "term", "left")
     weight = F.col("k") * F.coalesce("rarity", F.lit(vectors()[2]))
     dots = [F.coalesce(F.sum(weight * F.get(F.col("weights"), F.lit(i))), F.lit(0.0)).alias(f"d{i}") for i in range(len(TEMPLATES))]
     # Copies of a row double every count of theirs alike, which no cosine shows.
-    lines = weighed.groupBy("path", "copy", "line").agg(F.sqrt(F.sum(weight * weight)).alias("norm"), F.first("all_terms").alias("all_terms"), F.first("own_terms").alias("own_terms"), *dots)
+    lines = weighed.groupBy("path", "copy", "line").agg(F.sqrt(F.sum(weight * weight)).alias("norm"), F.first("all_terms").alias("all_terms"), F.first("own_terms").alias("own_terms"), F.first("kind").alias("kind"), *dots)
     best = F.greatest(*[F.struct(F.round(F.col(f"d{i}") / F.col("norm"), 6).alias("score"), F.lit(-i).alias("i"), F.lit(name).alias("license")) for i, (name, _) in enumerate(TEMPLATES)])
     scored = lines.withColumn("best", best).filter(F.col("best.score") >= threshold)
     top = F.max(F.struct(F.col("best.score").alias("score"), (-F.col("line")).alias("line"), F.col("best.license").alias("license")))
-    per = scored.groupBy("path", "copy").agg(top.alias("top"), (F.sum("own_terms") / F.greatest(F.first("all_terms"), F.lit(1))).alias("share"))
+    # Sentences and windows reach into the prose around a notice and say nothing of its length; a whole text counts only if it is a template's.
+    spoken = [F.sum(F.when(own, F.col("own_terms"))) for own in (F.col("kind") == 0, (F.col("kind") == 3) & (F.col("best.score") >= 0.9))]
+    per = scored.groupBy("path", "copy").agg(top.alias("top"), (F.coalesce(F.greatest(*spoken), F.lit(0)) / F.greatest(F.first("all_terms"), F.lit(1))).alias("share"))
     return per.select("path", "copy", F.col("top.license").alias("license"), F.col("top.score").alias("score"), (-F.col("top.line")).alias("line"), F.round("share", 6).alias("share"))
 
 

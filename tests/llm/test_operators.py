@@ -243,6 +243,20 @@ def test_licenses(spark):
     assert scan_licenses(docs.limit(0), "path", "text").count() == 0
 
 
+def test_licenses_over_line_ends_and_in_files(spark):
+    prose = "This line tells of other things that the program does and how it does them. " * 40
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software\nand associated documentation files (the Software), to deal in the Software without restriction"
+    texts = [
+        ("Apache-2.0", f"Copyright 2020 Foo Inc. Licensed under the Apache License, Version 2.0. All other rights reserved by nobody at all in this place. {prose}"), ("MIT", f"{prose} {mit} {prose}"),
+        ("MIT", f"# SPDX-License-Identifier: MIT\n{prose}"), ("Apache-2.0", f"// SPDX-License-Identifier: Apache-2.0\n{prose}"), ("GPL-3.0", f"GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n{prose}"),
+        ("GPL-2.0", f"GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n\n{prose}"), ("LGPL-3.0", f"GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n{prose}"), ("Apache-2.0", f"# Licensed under the Apache\n# License, Version\n# 2.0.\n{prose}"),
+        (None, f"{prose}\nA driving license is asked for.\n{prose}"), (None, f"SPDX-License-Identifier: Zlib\n{prose}"),
+    ]
+    docs = spark.createDataFrame([(f"{i}/x.py", t) for i, (_, t) in enumerate(texts)], "path string, text string")
+    found = {r["path"]: r["license"] for r in scan_licenses(docs, "path", "text").collect()}
+    assert found == {f"{i}/x.py": name for i, (name, _) in enumerate(texts)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 
