@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,20 +24,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``; a temporary one only where none is set."""
+    """The cluster's shared folder, ``spark.checkpoint.dir``; a temporary one only where none is set and all runs on one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = os.path.join(tempfile.gettempdir(), "evidentia-shared")
-        spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+#: Where each stored table of this driver lies.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stored-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``stored`` returned, once all that was read from them is itself stored."""
+    for df in tables:
+        if path := _paths.pop(df, None):
+            jvm = df.sparkSession._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def stored_bytes(df: DataFrame) -> int:
@@ -48,21 +66,22 @@ def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     return F.broadcast(df) if stored_bytes(df) <= limit else df
 
 
-def bounded_batches(df: DataFrame, rows: int = 1000) -> None:
-    """Keeps the batches that go to Python small, for the memory of executors; a smaller setting stays."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(df.sparkSession.conf.get(key)) <= rows:
-        df.sparkSession.conf.set(key, rows)
-
-
 def text_slices(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the column ``text`` of each holds about ``limit`` bytes, one row at least."""
     for batch in batches:
-        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0))
-        groups = np.cumsum(sizes, dtype=np.int64) // limit
-        starts = np.flatnonzero(np.diff(groups, prepend=-1))
-        for a, b in zip(starts, [*starts[1:], batch.num_rows]):
-            yield batch.slice(a, b - a)
+        yield from _cut(batch, np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0)), limit)
+
+
+def list_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the lists of a column hold about ``limit`` elements in all, one row at least."""
+    for batch in batches:
+        yield from _cut(batch, np.asarray(pc.fill_null(pc.list_value_length(batch.column(column)), 0)), limit)
+
+
+def _cut(batch: pa.RecordBatch, sizes: np.ndarray, limit: int) -> Iterator[pa.RecordBatch]:
+    starts = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // limit, prepend=-1))
+    for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(a, b - a)
 
 
 def offsets_of(lengths: np.ndarray) -> np.ndarray:

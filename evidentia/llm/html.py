@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches
 
 #: Tags of HTML by how they are treated.
 DROPPED = frozenset("head script style noscript template iframe object embed svg canvas form button select textarea input option nav header footer aside dialog menu audio video map title".split())
@@ -222,7 +221,6 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     ``text`` is empty if there is none. Other columns stay. A narrow map; a page is held whole.
     """
-    bounded_batches(pages)
     kept = [f for f in pages.schema.fields if f.name not in ("html", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

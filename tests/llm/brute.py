@@ -95,8 +95,10 @@ def shingles(text: str | None) -> frozenset:
     return frozenset(tuple(words[i : i + 3]) for i in range(len(words) - 2))
 
 
-def components(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
+def components(rows: list[tuple[int, str | None]], percent: int = 90) -> dict[int, tuple[int, int, int]]:
+    """Set size, component and number of other linked sets of each document."""
     sets = {d: shingles(t) for d, t in rows}
+    partners = defaultdict(set)
     holders = defaultdict(list)
     for d, s in sets.items():
         for x in s:
@@ -114,7 +116,10 @@ def components(rows: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]
             for b in own[:i]:
                 if (a, b) not in seen:
                     seen.add((a, b))
-                    if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                    if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                        if sets[a] != sets[b]:
+                            partners[a].add(sets[b])
+                            partners[b].add(sets[a])
                         x, y = sorted((root(a), root(b)))
                         up[y] = x
-    return {d: (len(s), root(d)) for d, s in sets.items()}
+    return {d: (len(s), root(d), len(partners[d])) for d, s in sets.items()}

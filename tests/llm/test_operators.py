@@ -158,15 +158,28 @@ def near_copies(n):
 
 
 def test_similar_documents(spark, texts, awkward, empty):
-    found = similar_documents(spark.read.parquet(f"{SF}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
-    assert by_id(found, 2) == brute.components(texts)
-    rows = near_copies(60)
-    assert by_id(similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "n_shingles", "component_id"), 2) == brute.components(rows)
+    columns = ("doc_id", "n_shingles", "component_id", "n_links")
+    found = similar_documents(spark.read.parquet(f"{SF}/documents.parquet")).select(*columns)
+    assert by_id(found, 3) == brute.components(texts)
     odd = similar_documents(awkward).select("doc_id", "component_id")
     assert odd.count() == awkward.count() and {tuple(r) for r in odd.collect()} >= {(1, 1), (2, 2), (5, 4), (8, 7)}
     assert similar_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize(("rows", "percent"), [(60, 90), (700, 90), (300, 70)])
+def test_similar_documents_in_large_groups(spark, rows, percent):
+    rows = near_copies(rows)  # more than a block holds, and shingles that more than FEW share
+    found = similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).select("doc_id", "n_shingles", "component_id", "n_links")
+    assert by_id(found, 3) == brute.components(rows, percent)
+
+
+def test_similar_documents_without_ids_or_with_repeated_ones(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(None, text), (7, text), (7, text), (7, "other words stand here"), (9, text + " end"), (9, None)], "doc_id long, text string")
+    found = sorted(((r["doc_id"] or 0, r["n_shingles"], r["class_id"], r["component_id"], r["n_links"]) for r in similar_documents(docs).collect()))
+    assert found == [(0, 58, None, None, None), (7, 2, 7, 7, 0), (7, 58, 7, 7, 1), (7, 58, 7, 7, 1), (9, 0, 9, 9, 0), (9, 59, 9, 7, 1)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (200, 200)]
     found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
