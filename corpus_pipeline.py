@@ -30,9 +30,9 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents the one with the smallest id."""
+    """Keeps of each group of linked documents the one with the smallest id; rows without an id have no group and stay."""
     groups = similar_documents(docs, percent=NEAR_PERCENT, size=NEAR_WORDS)
-    return docs.join(groups.filter(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    return docs.join(groups.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
