@@ -2,7 +2,7 @@
 
 Equal sets are one class, known by a fingerprint of its shingles. Four steps narrow the classes down, each exact:
 
-1. Every class offers its least shingles by hash, half as many again as its prefix. Two sets similar enough share more
+1. Every class offers its least shingles by hash, about twice as many as its prefix has. Two sets similar enough share more
    than the surplus of the smaller, so a class of which too few offered shingles occur elsewhere has no partner.
 2. Sets of the others are ordered rare first (by a fixed-size table of hashed frequencies) and met on the shingles of
    their prefixes. Pairs of a shingle that few hold pass a length, a positional and a suffix filter (differences of
@@ -79,7 +79,7 @@ def prefix_size(n, percent: int):
 
 def surplus(n, percent: int):
     """Shingles offered beyond the prefix."""
-    return (n - -(-percent * n // 100)) // 2
+    return n - -(-percent * n // 100)
 
 
 def profile(texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -191,7 +191,7 @@ def candidate_ties(sets: DataFrame, rarity, percent: int) -> DataFrame:
     own = stored(prefixes(sets, rarity, percent))
     rows = own.select("node", "n", *[c for c in own.columns if c.startswith("bins")], F.posexplode("prefix").alias("at", "token"))
     met = rows.groupBy("token").agg(F.count("*").alias("k"), F.min("node").alias("least")).filter("k > 1")
-    met = stored(rows.join(small(stored(met)), "token"))
+    met = stored(rows.join(met, "token"))
     few = met.filter(F.col("k") <= FEW).drop("k", "least")
     side = lambda x: few.select("token", *[F.col(c).alias(f"{c}_{x}") for c in few.columns if c != "token"])
     pairs = side("a").join(side("b"), "token").filter(F.col("node_a") < F.col("node_b")).filter(may_link(percent)).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
@@ -319,8 +319,8 @@ def similar_documents(docs: DataFrame, percent: int = 90, size: int = 3, id_col:
     offers = profiles.select("doc", node, "n", "offered").join(small(heads.select("doc", "node")), ["doc", "node"], "left_semi").select("node", "n", F.explode("offered").alias("token"))
     shared = stored(offers.groupBy("token").agg(F.count("*").alias("k")).filter("k > 1").select("token"))
     least_n = F.ceil(percent * F.col("n") / 100)
-    spare = F.floor((least_n - F.ceil(percent * least_n / 100)) / 2)
-    left = offers.join(small(shared), "token").groupBy("node", "n").agg(F.count("*").alias("k")).filter(F.col("k") > spare).select("node")
+    spare = least_n - F.ceil(percent * least_n / 100)
+    left = offers.join(shared, "token").groupBy("node", "n").agg(F.count("*").alias("k")).filter(F.col("k") > spare).select("node")
     wanted = stored(heads.join(small(stored(left)), "node", "left_semi").select("doc", "node", "mark1", "mark2"))
     members = stored(profiles.select("doc", "n", node))
     discard(profiles, shared)
