@@ -66,6 +66,12 @@ def small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     return F.broadcast(df) if stored_bytes(df) <= limit else df
 
 
+def fenced(df: DataFrame) -> DataFrame:
+    """``df`` behind a node that no later filter passes. A filter pushed below puts the definition of each column it
+    names into its condition, also into lambdas over arrays, where it would be worked out again for each element."""
+    return df.observe(f"rows-{uuid.uuid4().hex}", F.count(F.lit(1)).alias("rows"))
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Batches cut so that the column ``text`` of each holds about ``limit`` bytes, one row at least."""
     for batch in batches:
@@ -88,11 +94,5 @@ def offsets_of(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(lengths, dtype=np.int64)))
 
 
-def ascii_lower(text: Column) -> Column:
-    """A-Z to a-z and nothing else; texts of ASCII alone take the engine's fast path."""
-    upper, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, upper, low))
-
-
 def sha_hex(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
