@@ -73,7 +73,7 @@ class Chunk:
 class Codec:
     """Encodes and decodes whole texts exactly as the tokenizers library does with the same file."""
 
-    def __init__(self, path: str, max_pieces: int = 1_000_000, max_chunk_chars: int = 4_000_000):
+    def __init__(self, path: str, max_pieces: int = 200_000, max_chunk_chars: int = 1_000_000):
         import regex
         from tokenizers import Tokenizer
 
