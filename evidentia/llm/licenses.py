@@ -62,14 +62,15 @@ TEMPLATES = (
     ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
     *((name, f"SPDX-License-Identifier: {tag}") for name, tags in SPDX.items() for tag in tags),
 )
-TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: Possessive, so that a long dotted run takes no stack.
+TERM = r"[a-z0-9]++(?:[.-][a-z0-9]++)*+"
 CUE = r"(?i)licen[cs]e|copyright|public domain|permission is hereby granted|redistribut"
 #: Terms around which windows are laid: (length, how far before the term it begins). Texts up to SHORT terms are compared whole.
 CUE_TERM = r"^(?:licen[cs]e[ds]?|licensing|copyright|permission|redistribut\w*|domain)$"
 WINDOWS = tuple((9, k) for k in (0, 2, 3, 4, 6)) + tuple((20, k) for k in (0, 5, 10, 15)) + tuple((36, k) for k in (0, 9, 18, 27))
 SHORT = 400
 #: Names of files that hold a license for their directory.
-FILE_NAME = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense)(?:[.-][a-z0-9.-]*)?$"
+FILE_NAME = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense)(?:[.-][a-z0-9.-]*+)?$"
 
 
 def vectors() -> tuple[dict[str, list[float]], dict[str, float], float]:

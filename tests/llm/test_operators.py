@@ -31,7 +31,7 @@ def texts(spark):
 def awkward(spark):
     """Nulls, empty and long texts, repeated rows, and columns with names that the operators use."""
     long = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen " * 2000
-    own = [(1, None), (2, ""), (3, " \n\t "), (4, long), (5, long), (5, long), (6, "a@b.co and 10.0.0.1, +49 30 1234567 or 4111 1111 1111 1111"), (7, "one two"), (8, "ONE two"), (9, "x" * 100_000)]
+    own = [(1, None), (2, ""), (3, " \n\t "), (4, long), (5, long), (5, long), (6, "a@b.co and 10.0.0.1, +49 30 1234567 or 4111 1111 1111 1111"), (7, "one two"), (8, "ONE two"), (9, "x" * 100_000), (10, "license a" + ".a" * 60_000 + " \U0001f600")]
     return spark.createDataFrame([(i, t, None if i == 2 else "en", None, None, "w", "c", 0) for i, t in own], FORM)
 
 
