@@ -18,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stored
+from .common import fenced, small, stored
 
 #: Patterns that match what the plain ones would, without retrying inside a run and without recursion.
 PATTERNS = {
@@ -83,7 +83,11 @@ def add_matches(df: DataFrame, text: str, kind: str) -> DataFrame:
 
 def base_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc, copy, text, one array of spans for each kind, and ``base``, all of them by start and kind."""
-    df = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("copy"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return with_base(docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("copy"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+
+
+def with_base(df: DataFrame) -> DataFrame:
+    """Adds one array of spans of ``text`` for each kind, and ``base``, all of them by start and kind."""
     df = reduce(lambda d, kind: add_matches(d, "text", kind), KINDS, df)
     by_start = F.array_sort(F.transform(F.concat(*[F.col(f"m_{k}") for k in KINDS]), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["value"].alias("value"))))
     return df.withColumn("base", by_start)
@@ -140,21 +144,45 @@ def term_spans(docs: DataFrame, terms: DataFrame, id_col: str, text_col: str) ->
     return per.select("doc", "copy", spans.alias("found"))
 
 
+def with_reach(df: DataFrame, ends: str, out: str) -> DataFrame:
+    """Adds for each element of an array of ends the furthest of those before it, 0 for the first, in blocks like running sums."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(ends) - 1) / BLOCK).cast("int")), lambda b: F.slice(F.col(ends), b * BLOCK + 1, F.lit(BLOCK)))
+    df = df.withColumn("_blocks", F.when(F.size(ends) > 0, blocks))
+    df = df.withColumn("_most", F.transform("_blocks", lambda block: F.array_max(block)))
+    first = F.transform("_most", lambda _, b: F.coalesce(F.array_max(F.slice("_most", F.lit(1), b)), F.lit(0)))
+    inside = lambda block, before: F.transform(block, lambda _, i: F.greatest(before, F.coalesce(F.array_max(F.slice(block, F.lit(1), i)), F.lit(0))))
+    return df.withColumn(out, F.flatten(F.zip_with("_blocks", first, inside))).drop("_blocks", "_most")
+
+
+def with_spans(base: DataFrame, extra: DataFrame) -> DataFrame:
+    """Adds ``spans``: the base ones and the method's that overlap none of them, by start and kind.
+
+    Terms never overlap each other, so one overlaps a base span if the furthest base end before it, or the base span
+    next after it, reaches into it.
+    """
+    extra = extra.select(F.col("doc").alias("_doc"), F.col("copy").alias("_copy"), "found")
+    df = base.join(extra, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("copy") == F.col("_copy")), "left").drop("_doc", "_copy")
+    df = df.withColumn("_all", F.when(F.col("found").isNotNull(), F.array_sort(F.concat("base", "found")))).drop("found")
+    of_term = lambda x: x["kind"] == len(KINDS)
+    df = df.withColumn("_ends", F.transform("_all", lambda x: F.when(of_term(x), F.lit(0)).otherwise(x["end"])))
+    df = with_reach(df, "_ends", "_before").drop("_ends")
+    follows = lambda i: F.get(F.col("_all"), i + 1)
+    clear = F.filter("_all", lambda x, i: ~of_term(x) | ((F.get(F.col("_before"), i) <= x["start"]) & F.coalesce(of_term(follows(i)) | (follows(i)["start"] >= x["end"]), F.lit(True))))
+    return df.withColumn("spans", F.coalesce(clear, F.col("base"))).drop("_all", "_before")
+
+
 def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: float = 1.0) -> DataFrame:
     """One row for each row of ``docs``: id, base and spans (arrays of start, kind, end, value), and counts by kind.
 
-    Kinds are numbered as in KINDS, then ``term``; positions are code points, the end exclusive. Null or empty texts
-    have no spans; repeated rows each get their row; other columns are ignored. The method's spans that overlap a base
-    one are left out, so every base span stays as it is.
+    Kinds are numbered as in KINDS, then ``term``; positions are code points, the end exclusive; spans of one start come
+    by kind. Null or empty texts have no spans; texts of any length are read whole, in time in proportion to their length;
+    repeated rows, and rows without an id, each get their row; an empty table gives an empty one; other columns, whatever
+    their names, are ignored. The method's spans that overlap a base one are left out, so every base span stays as it is.
     """
     terms = stored(revealing_terms(docs, text_col, max_bits).select("term").distinct())
     base = base_spans(docs, id_col, text_col).select("doc", "copy", "base", *[F.size(f"m_{k}").cast("long").alias(f"n_{k}") for k in KINDS])
-    extra = term_spans(docs, terms, id_col, text_col)
-    null_safe = F.coalesce(F.col("doc").cast("string"), F.lit(""))
-    joined = base.withColumn("_k", null_safe).join(extra.select(null_safe.alias("_k"), F.col("copy").alias("_c"), "found").withColumnRenamed("_k", "_k2"), (F.col("_k") == F.col("_k2")) & (F.col("copy") == F.col("_c")), "left")
-    clear = F.filter("found", lambda f: ~F.exists("base", lambda b: (b["start"] < f["end"]) & (f["start"] < b["end"])))
-    every = F.array_sort(F.concat(F.col("base"), F.coalesce(clear, F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int,value:string>>)"))))
-    return joined.select(F.col("doc").alias(id_col), *[f"n_{k}" for k in KINDS], "base", every.alias("spans"))
+    found = with_spans(base, term_spans(docs, terms, id_col, text_col))
+    return fenced(found.select(F.col("doc").alias(id_col), *[f"n_{k}" for k in KINDS], "base", "spans"))
 
 
 def spelled(spans: str) -> Column:
@@ -163,30 +191,41 @@ def spelled(spans: str) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+#: Characters of a stretch of a text in which pieces are looked up.
+STRETCH = 1024
+
+
+def piece(cut: str, x: Column) -> Column:
+    """The text between ``from`` and ``to`` of a part, from the column of stretches, so that no part is looked for from the beginning."""
+    a, b = (F.floor(x[c] / STRETCH).cast("int") for c in ("from", "to"))
+    at = lambda k: F.coalesce(F.get(F.col(cut), k), F.lit(""))
+    between = F.when(b > a + 1, F.array_join(F.slice(F.col(cut), a + 2, F.greatest(b - a - 1, F.lit(0))), "")).otherwise(F.lit(""))
+    over = F.concat(F.substring(at(a), x["from"] % STRETCH + 1, F.lit(STRETCH)), between, F.substring(at(b), F.lit(1), x["to"] % STRETCH))
+    return F.when(a == b, F.substring(at(a), x["from"] % STRETCH + 1, x["to"] - x["from"])).otherwise(over)
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: float = 1.0) -> DataFrame:
     """``docs`` with every span in ``text`` generalised to its kind in brackets; all columns and rows stay.
 
-    Overlapping spans become one, named after the first. Null text stays null; texts without spans are unchanged.
+    Overlapping spans become one, named after the first. Null text stays null; texts without spans are unchanged; texts
+    of any length are read whole, in time in proportion to their length. Rows without an id and repeated rows are
+    treated like others, an empty table gives an empty one, and other columns keep their values, whatever their names.
     """
     terms = stored(revealing_terms(docs, text_col, max_bits).select("term").distinct())
-    extra = term_spans(docs, terms, id_col, text_col).select(F.coalesce(F.col("doc").cast("string"), F.lit("")).alias("_k2"), F.col("copy").alias("_c2"), "found").withColumnRenamed("found", "_found")
-    df = docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
-    df = reduce(lambda d, kind: add_matches(d, "_t", kind), KINDS, df)
-    df = df.withColumn("_k", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("_c", F.xxhash64(F.col(text_col)))
-    df = df.join(extra, (F.col("_k") == F.col("_k2")) & (F.col("_c") == F.col("_c2")), "left")
-    own = F.transform(F.concat(*[F.col(f"m_{k}") for k in KINDS]), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    term = F.transform(F.coalesce("_found", F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int,value:string>>)")), lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    df = df.withColumn("_s", F.array_sort(F.concat(own, term)))
-    # Spans merged where they overlap; each starts where the one before it has ended.
-    merge = F.aggregate(
-        "_s",
-        F.expr("CAST(array() AS array<struct<start:int,kind:int,end:int>>)"),
-        lambda a, x: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["end"] > x["start"]), F.concat(F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(a, F.lit(-1))["start"].alias("start"), F.try_element_at(a, F.lit(-1))["kind"].alias("kind"), F.greatest(F.try_element_at(a, F.lit(-1))["end"], x["end"]).alias("end"))))).otherwise(F.concat(a, F.array(x))),
-    )
-    df = df.withColumn("_s", F.when(F.size("_s") > 0, merge))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # no name of the caller's meets one of ours
+    df = docs.select(row, F.col(id_col).alias("doc"), F.xxhash64(F.col(text_col)).alias("copy"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    df = with_base(df).drop(*[f"m_{k}" for k in KINDS])
+    df = with_spans(df, term_spans(docs, terms, id_col, text_col)).drop("base")
+    df = with_reach(df.withColumn("_ends", F.transform("spans", lambda s: s["end"])), "_ends", "_before")
+    # A part begins at each span that starts beyond all ends before it; the text between is kept.
+    first = F.filter(F.sequence(F.lit(0), F.size("spans") - 1), lambda i: F.get(F.col("spans"), i)["start"] >= F.get(F.col("_before"), i))
+    df = df.withColumn("_at", F.when(F.size("spans") > 0, first))
+    span = lambda i: F.get(F.col("spans"), i)
+    df = df.withColumn("_parts", F.transform("_at", lambda i: F.struct(F.get(F.col("_before"), i).alias("from"), span(i)["start"].alias("to"), span(i)["kind"].alias("kind"))))
+    end = F.struct(F.array_max("_ends").alias("from"), F.length("text").alias("to"), F.lit(None).cast("int").alias("kind"))
+    df = df.withColumn("_parts", F.when(F.size("_at") > 0, F.concat("_parts", F.array(end)))).drop("_at", "_before", "_ends", "spans")
+    df = df.withColumn("_cut", F.when(F.col("_parts").isNotNull(), F.regexp_extract_all("text", F.lit(f"(?s).{{1,{STRETCH}}}"), F.lit(0))))
     labels = F.array(*[F.lit(f"[{k.upper()}]") for k in (*KINDS, "term")])
-    before = lambda i: F.when(i > 0, F.get(F.col("_s"), F.greatest(i - 1, F.lit(0)))["end"]).otherwise(F.lit(0))
-    parts = F.transform("_s", lambda s, i: F.concat(F.substring(F.col("_t"), before(i) + 1, s["start"] - before(i)), F.get(labels, s["kind"])))
-    tail = F.substring(F.col("_t"), F.element_at("_s", -1)["end"] + 1, F.length("_t"))
-    clean = F.when(F.size("_s") > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(F.col(text_col))
-    return df.withColumn(text_col, clean).select(*docs.columns)
+    clean = F.array_join(F.transform("_parts", lambda x: F.concat(piece("_cut", x), F.coalesce(F.get(labels, x["kind"]), F.lit("")))), "")
+    df = fenced(df.select("row", F.when(F.col("_parts").isNotNull(), clean).otherwise(F.col(f"row.`{text_col}`")).alias("clean")))
+    return df.select(*[(F.col("clean") if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

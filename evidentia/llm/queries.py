@@ -12,6 +12,7 @@ from .html import extract_main_text
 from .jaccard import similar_documents
 from .langid import held_out, identify, train
 from .licenses import scan_licenses
+from .oracles import ORACLES  # noqa: F401
 from .pii import find_personal_data, spelled
 from .quality import judge_quality
 from .substrings import remove_repeats
@@ -85,4 +86,3 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_token_counts, op3_pii, op4_licenses, op5_quality, op6_decontaminate, op7_substrings, op8_jaccard, op9_html, op10_langid)}
-ORACLES: dict[str, str] = {}

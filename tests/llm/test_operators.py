@@ -114,6 +114,17 @@ def test_pii_spans_in_runs(spark):
     assert by_id(found, 5) == {i: (*brute.pii(t)[0], brute.pii(t)[1]) for i, t in own}
 
 
+def test_personal_data_in_a_text_full_of_it(spark):
+    text = "".join(f"m{i}é@x.org, " for i in range(30_000))
+    form = "doc_id long, text string, _t string, _k string, _c long, _s string, m_email string, row string, doc long, found string, base string, spans string"
+    docs = spark.createDataFrame([(1, text, "t", "k", 3, "s", "m", "r", 4, "f", "b", "p"), (None, "to a@b.co" + " x" * 2000 + " +49 30 1234567", *[None] * 10)], form)
+    clean = {r["doc_id"]: r for r in redact(docs).collect()}
+    assert clean[1]["text"] == text  # no address: the character before the sign isn't one of its
+    assert tuple(clean[1])[2:] == ("t", "k", 3, "s", "m", "r", 4, "f", "b", "p") and clean[None]["text"] == "to [EMAIL]" + " x" * 2000 + " [PHONE]"
+    many = spark.createDataFrame([(1, "".join(f"m{i}@x.org, " for i in range(30_000)))], "doc_id long, text string")
+    assert redact(many).first()["text"] == "[EMAIL], " * 30_000 and find_personal_data(many).first()["n_email"] == 30_000
+
+
 def test_quality(spark, texts, awkward, empty):
     found = judge_quality(spark.read.parquet(f"{SF}/documents.parquet")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert by_id(found, 6) == {i: brute.quality(t) for i, t in texts}
