@@ -26,6 +26,10 @@ class Spark:
     def found(self, x: str, pattern: str) -> str:
         return f"regexp_extract_all({x}, {self.s(pattern)}, 0)"
 
+    def tokens(self, x: str) -> str:
+        """Keyword tokens; possessive, so that a long dotted run takes no stack."""
+        return self.found(f"lower({x})", r"[a-z0-9]++(?:[.\-][a-z0-9]++)*+")
+
     def has(self, x: str, pattern: str) -> str:
         return f"regexp_like({x}, {self.s(pattern)})"
 
@@ -70,6 +74,9 @@ class Duck(Spark):
     def sub(self, x: str, pattern: str, to: str) -> str:
         return f"regexp_replace({x}, {self.s(pattern)}, '{re.sub(r'[$](\d)', r'\\\1', to)}', 'g')"
 
+    def tokens(self, x: str) -> str:
+        return self.found(f"lower({x})", r"[a-z0-9]+(?:[.\-][a-z0-9]+)*")
+
     def has(self, x: str, pattern: str) -> str:
         return f"regexp_matches({x}, {self.s(pattern)})"
 
@@ -106,6 +113,7 @@ def sql_query(name: str, text: Callable[[Spark], str]) -> None:
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = text(Spark())
+        spark = spark.newSession()  # its views are not the caller's
         for table in TABLES:
             if re.search(rf"\b{table}\b", own):
                 spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)

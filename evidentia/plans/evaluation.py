@@ -43,7 +43,10 @@ sql_query("micro_macro", lambda d: "WITH p AS (SELECT l_suppkey, count(*) AS gol
 sql_query("label_problems", lambda d: f"SELECT problem, count(*) AS n FROM (SELECT {d.explode}({d.where(d.array("CASE WHEN o_orderstatus NOT IN ('F', 'O') THEN 'unknown verdict' END", "CASE WHEN o_totalprice < 1000 THEN 'value too small' END", "CASE WHEN o_orderpriority LIKE '4%' THEN 'no reason given' END"), 'x', 'x IS NOT NULL')}) AS problem FROM orders) t GROUP BY problem")
 sql_query("adjudication", lambda d: f"SELECT t.doc_id, lang FROM ({_L}) t JOIN documents ON documents.doc_id = t.doc_id WHERE a <> b")
 sql_query("majority_labels", lambda d: f"WITH l AS (SELECT t.doc_id, a, b, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS c FROM ({_L}) t JOIN documents ON documents.doc_id = t.doc_id) SELECT doc_id, CASE WHEN a = b THEN a ELSE c END AS gold, CASE WHEN a = b THEN 2 ELSE 3 END AS voters FROM l")
-sql_query("number_grounding", lambda d: f"WITH n AS (SELECT conv_id, role, {d.distinct}({d.found('text', '[a-zA-Z]{6,}')}) AS words FROM conversations WHERE turn < 2) SELECT a.conv_id, {d.size}(a.words) AS n_words, {d.size}({d.intersect}(a.words, b.words)) AS n_grounded FROM n a JOIN n b ON a.conv_id = b.conv_id AND a.role = 'assistant' AND b.role = 'user'")
+sql_query("number_grounding", lambda d: f"""
+WITH n AS (SELECT conv_id, role, {d.explode}({d.found('text', '[0-9]+')}) AS number FROM conversations),
+said AS (SELECT DISTINCT conv_id, number FROM n WHERE role = 'assistant'), known AS (SELECT DISTINCT conv_id, number FROM n WHERE role = 'user')
+SELECT said.conv_id, count(*) AS n_numbers, count(known.number) AS n_grounded FROM said LEFT JOIN known ON known.conv_id = said.conv_id AND known.number = said.number GROUP BY said.conv_id""")
 sql_query("condition_prf", lambda d: f"""
 WITH found AS (SELECT DISTINCT l_suppkey, l_returnflag AS v FROM lineitem WHERE l_quantity < 3), gold AS (SELECT DISTINCT l_suppkey, l_linestatus AS v FROM lineitem UNION SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem WHERE l_quantity > 49),
 j AS (SELECT coalesce(f.v, g.v) AS v, f.v IS NOT NULL AS said, g.v IS NOT NULL AS right_one FROM found f FULL OUTER JOIN gold g ON f.l_suppkey = g.l_suppkey AND f.v = g.v), c AS (SELECT coalesce(v, 'ALL') AS field, {_COUNT('said AND right_one')} AS tp, {_COUNT('said AND NOT right_one')} AS fp, {_COUNT('NOT said AND right_one')} AS fn FROM j GROUP BY ROLLUP (v))

@@ -12,21 +12,21 @@ def dot(d: Spark, a: str, b: str) -> str:
 
 
 _KNN = lambda d, k: f"""SELECT q, vec_id, score, r FROM (SELECT q.vec_id AS q, e.vec_id, round({dot(d, 'q.embedding', 'e.embedding')}, 6) AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({dot(d, 'q.embedding', 'e.embedding')}, 6) DESC, e.vec_id) AS r
-  FROM embeddings q JOIN embeddings e ON q.vec_id < 5) t WHERE r <= {k}"""
+  FROM embeddings q CROSS JOIN embeddings e WHERE q.vec_id % 20 = 0) t WHERE r <= {k}"""
 #: Okapi constants, with the floor that rare-term libraries give to terms held by more than half of all texts.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 _BM25 = lambda d, k: f"""
-tok AS (SELECT doc_id, {d.explode}({d.found('lower(text)', r'[a-z0-9]+(?:[.\-][a-z0-9]+)*')}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS n FROM tok GROUP BY doc_id, term), dl AS (SELECT doc_id, count(*) AS len FROM tok GROUP BY doc_id),
+tok AS (SELECT doc_id, {d.explode}({d.tokens('text')}) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS n FROM tok GROUP BY doc_id, term), dl AS (SELECT doc_id, count(*) AS len FROM tok GROUP BY doc_id),
 corpus AS (SELECT (SELECT count(*) FROM documents) AS total, (SELECT CAST(sum(len) AS double) FROM dl) / (SELECT count(*) FROM documents) AS avg_len), df AS (SELECT term, count(*) AS n FROM tf GROUP BY term),
 raw AS (SELECT term, ln(total - n + 0.5) - ln(n + 0.5) AS idf FROM df CROSS JOIN corpus), floor_idf AS (SELECT {EPSILON} * avg(idf) AS low FROM raw), idf AS (SELECT term, CASE WHEN idf < 0 THEN low ELSE idf END AS idf FROM raw CROSS JOIN floor_idf),
-asked AS (SELECT item_id, {d.explode}({d.found('lower(text)', r'[a-z0-9]+(?:[.\-][a-z0-9]+)*')}) AS term FROM benchmark WHERE item_id < 8),
+asked AS (SELECT item_id, {d.explode}({d.tokens('text')}) AS term FROM benchmark WHERE item_id % 20 = 0),
 scored AS (SELECT item_id, tf.doc_id, round(sum(idf * n * {K1 + 1} / (n + {K1} * ({1 - B} + {B} * len / avg_len))), 4) AS score FROM asked JOIN tf ON tf.term = asked.term JOIN idf ON idf.term = asked.term JOIN dl ON dl.doc_id = tf.doc_id CROSS JOIN corpus GROUP BY item_id, tf.doc_id),
 bm25 AS (SELECT item_id, doc_id, score, r FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM scored WHERE score > 0) t WHERE r <= {k})"""
 
 sql_query("dense_knn", lambda d: _KNN(d, 10))
 sql_query("bm25_search", lambda d: f"WITH {_BM25(d, 10)} SELECT item_id, doc_id, score, r FROM bm25")
 sql_query("rrf_fusion", lambda d: f"""
-WITH {_BM25(d, 30)}, dense AS ({_KNN(d, 30)}), lists AS (SELECT item_id AS q, doc_id AS id, r FROM bm25 WHERE item_id < 5 UNION ALL SELECT q, vec_id, r FROM dense),
+WITH {_BM25(d, 30)}, dense AS ({_KNN(d, 30)}), lists AS (SELECT item_id AS q, doc_id AS id, r FROM bm25 UNION ALL SELECT q, vec_id, r FROM dense),
 fused AS (SELECT q, id, round(sum(1e0 / (60 + r)) * CASE WHEN id % 10 = 3 THEN 1.15 ELSE 1 END, 9) AS score FROM lists GROUP BY q, id)
 SELECT q, id, score, k FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS k FROM fused) t WHERE k <= 20""")
 _RANKED = "SELECT o_custkey AS q, o_orderkey AS id, CAST(floor(o_totalprice) AS bigint) % 17 - 9 AS score, o_orderstatus = 'F' AS relevant, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders"
@@ -51,7 +51,7 @@ WITH r AS ({_RANKED}), u AS (SELECT q, id, 1 AS why, r AS pos FROM r WHERE r <=
 SELECT q, id, why FROM (SELECT *, row_number() OVER (PARTITION BY q, id ORDER BY why, pos) AS first FROM u) t WHERE first = 1""")
 sql_query("prompt_lines", lambda d: f"SELECT chunk_id, profile_id, k FROM (SELECT chunk_id, profile_id, row_number() OVER (PARTITION BY chunk_id ORDER BY CASE WHEN model = 'PROMO' THEN 1 ELSE 0 END + CASE WHEN language = 'NATION_7' THEN 1 ELSE 0 END DESC, profile_id) AS k FROM ({d.profiles})) t WHERE k <= 6")
 sql_query("methods_link", lambda d: f"""
-WITH {_BM25(d, 1000000)} SELECT b.item_id, doc.source, max_by(b.doc_id, b.score * 100000 - b.doc_id / 1000000.0) AS best FROM bm25 b JOIN documents doc ON doc.doc_id = b.doc_id WHERE doc.doc_id % 10 = 4 GROUP BY b.item_id, doc.source""")
+WITH {_BM25(d, 1)} SELECT item_id, source, doc_id AS best FROM (SELECT s.item_id, doc.source, s.doc_id, row_number() OVER (PARTITION BY s.item_id, doc.source ORDER BY s.score DESC, s.doc_id) AS k FROM scored s JOIN documents doc ON doc.doc_id = s.doc_id WHERE s.score > 0) t WHERE k = 1""")
 sql_query("page_cooccurrence", lambda d: f"""
 WITH terms AS (SELECT * FROM (VALUES (1, 'the'), (1, 'for'), (2, 'der'), (2, 'und'), (3, 'que'), (3, 'de'), (3, 'zzzz')) AS t(combo, term)),
 counts AS (SELECT page_id, combo, term, {d.size}({d.where(d.found('lower(html)', '[a-z]+'), 'x', 'x = term')}) AS n FROM pages CROSS JOIN terms),

@@ -171,11 +171,11 @@ FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_CITED} AS said FR
 sql_query("turn_overlap", lambda d: f"""
 WITH w AS (SELECT conv_id, turn, {d.distinct}({d.found('lower(text)', '[a-z0-9]+')}) AS words FROM conversations)
 SELECT a.conv_id, a.turn, round(CASE WHEN {d.size}(a.words) = 0 THEN 0.0 ELSE {d.size}({d.intersect}(a.words, b.words)) * 1.0 / {d.size}(a.words) END, 6) AS overlap FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1""")
-sql_query("keyword_tokens", lambda d: f"SELECT token, count(*) AS n FROM (SELECT {d.explode}({d.found('lower(text)', r'[a-z0-9]+(?:[.\-][a-z0-9]+)*')}) AS token FROM documents) GROUP BY token")
+sql_query("keyword_tokens", lambda d: f"SELECT token, count(*) AS n FROM (SELECT {d.explode}({d.tokens('text')}) AS token FROM documents) GROUP BY token")
 sql_query("heuristic_analysis", lambda d: f"""
 SELECT conv_id, turn, {first_match(d, 'said', INTENTS, "'factual'")} AS intent,
        CASE WHEN length(said) - length(replace(said, '?', '')) > 1 OR {d.size}({d.found('lower(said)', r'\b(and|also|as well as)\b')}) >= 2 OR {d.size}({d.found('said', r'\S+')}) > 30 OR {d.has('lower(said)', INTENTS['comparison'])} THEN 'complex' ELSE 'simple' END AS complexity
-FROM (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'How does it work? ' WHEN 1 THEN 'Which accuracy did they obtain? ' WHEN 2 THEN 'Compare both and say which is better than the other ' WHEN 3 THEN 'Give an overview ' ELSE '' END || substr(text, 1, 60) AS said FROM conversations)""")
+FROM (SELECT conv_id, turn, CASE turn % 5 WHEN 0 THEN 'How does it work? ' WHEN 1 THEN 'Which accuracy did they obtain? ' WHEN 2 THEN 'Compare both and say which is better than the other ' WHEN 3 THEN 'Give an overview ' ELSE '' END || text AS said FROM conversations)""")
 sql_query("n_shot", lambda d: f"""
 SELECT p_partkey, CASE WHEN n = '' THEN NULL WHEN n IN ('0', 'zero') THEN 'zero-shot' ELSE CASE n WHEN 'one' THEN '1' WHEN 'two' THEN '2' WHEN 'five' THEN '5' ELSE n END || '-shot' END AS setting
 FROM (SELECT p_partkey, {d.part("CASE p_partkey % 5 WHEN 0 THEN '0-shot' WHEN 1 THEN 'five shot' WHEN 2 THEN CAST(p_size AS varchar(30)) || '-shots' WHEN 3 THEN 'Zero-shot' ELSE 'shot' END", r'(?i)\b([0-9]{1,3}|zero|one|two|five)[- ]?shots?\b', 1)} AS raw, lower({d.part("CASE p_partkey % 5 WHEN 0 THEN '0-shot' WHEN 1 THEN 'five shot' WHEN 2 THEN CAST(p_size AS varchar(30)) || '-shots' WHEN 3 THEN 'Zero-shot' ELSE 'shot' END", r'(?i)\b([0-9]{1,3}|zero|one|two|five)[- ]?shots?\b', 1)}) AS n FROM part)""")

@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from .dialect import Spark, sql_query
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from evidentia.operators.conflicts import mine_pairs
+
+from .bindings import profiles
+from .catalogue import query
+from .dialect import Duck, Spark, sql_query
 from .scalars import NAMES, family, norm
 
 _P = lambda d: f"SELECT * FROM ({d.profiles})"
@@ -10,10 +18,9 @@ _REQ = "SELECT * FROM (VALUES (1, 'PROMO', 'Brand#5', 'NATION_7'), (2, 'SMALL',
 
 sql_query("profiles_matching", lambda d: f"SELECT request_id, profile_id, value FROM ({d.profiles}) p JOIN ({_REQ}) r ON model = r_model AND dataset = r_dataset AND language = r_language")
 sql_query("chunks_recording", lambda d: f"""
-WITH hits AS (SELECT request_id, chunk_id, CASE WHEN dataset = r_dataset THEN 1 ELSE 0 END + CASE WHEN model = r_model THEN 1 ELSE 0 END AS score FROM ({d.profiles}) p JOIN ({_REQ}) r ON language = r_language),
-per AS (SELECT request_id, chunk_id, max(score) AS best, count(*) AS n FROM hits GROUP BY request_id, chunk_id),
-top AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY best DESC, n DESC, chunk_id) AS k FROM per WHERE best >= 1)
-SELECT request_id, chunk_id, best, n, k FROM top WHERE k <= 8""")
+WITH per AS (SELECT request_id, chunk_id, count(*) AS n FROM ({d.profiles}) p JOIN ({_REQ}) r ON language = r_language AND dataset = r_dataset AND model = r_model GROUP BY request_id, chunk_id),
+top AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY n DESC, chunk_id) AS k FROM per)
+SELECT request_id, chunk_id, n, k FROM top WHERE k <= 4""")
 _PATCH = "SELECT profile_id, CASE WHEN model_size IS NULL THEN true ELSE false END AS has_language, CASE WHEN model_size IS NULL THEN NULL ELSE 'x' END AS new_language, setting = 'F' AS has_value, value / 10 AS new_value"
 sql_query("overlay_read", lambda d: f"""
 WITH p AS ({_P(d)}), patch AS ({_PATCH} FROM p WHERE metric = 'R')
@@ -53,21 +60,32 @@ pairs AS (SELECT a.paper_id AS paper_a, b.paper_id AS paper_b, a.model, a.datase
                  abs(a.cents - b.cents) * 1.0 / greatest(abs(a.cents), abs(b.cents), 1) AS rel
           FROM best a JOIN best b ON a.model = b.model AND a.dataset = b.dataset AND a.metric = b.metric AND a.paper_id < b.paper_id AND ((a.hi = 1 AND b.lo = 1) OR (a.lo = 1 AND b.hi = 1))),
 mined AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paper_a, paper_b, model, dataset, metric ORDER BY rel DESC, profile_a, profile_b) AS k FROM pairs WHERE rel > 0.02) t WHERE k = 1)"""
-sql_query("mine_pairs", lambda d: _PAIRS(d) + "SELECT model, dataset, metric, count(*) AS n_pairs, round(max(rel), 6) AS most, min(profile_a) AS first_a FROM mined GROUP BY model, dataset, metric")
+
+
+def pair_query(name: str, rest: Callable[[Spark], str]) -> None:
+    """A query over mined pairs: Spark mines them by the operator, the SQL by windows over all pairs of results."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql("WITH mined AS (SELECT * FROM {pairs})" + rest(Spark()), pairs=mine_pairs(profiles(spark, sf_dir)))
+
+    query(name, _PAIRS(Duck()) + rest(Duck()))(run)
+
+
+pair_query("mine_pairs", lambda d: " SELECT model, dataset, metric, count(*) AS n_pairs, round(max(rel), 6) AS most, min(profile_a) AS first_a FROM mined GROUP BY model, dataset, metric")
 #: Verdict of a pair: a condition recorded on both sides that differs explains it, one recorded on one side leaves it open.
 _VERDICT = """CASE WHEN size_a <> size_b THEN 'EXPLAINED' WHEN language_a <> language_b THEN 'EXPLAINED' WHEN setting_a <> setting_b THEN 'EXPLAINED'
  WHEN (size_a IS NULL) <> (size_b IS NULL) OR (language_a IS NULL) <> (language_b IS NULL) THEN 'NOT_COMPARABLE' ELSE 'GENUINE' END"""
 _DIFFERING = lambda d: d.text_of(d.where(d.array("CASE WHEN size_a <> size_b THEN 'model_size' END", "CASE WHEN language_a <> language_b THEN 'language' END", "CASE WHEN setting_a <> setting_b THEN 'setting' END"), "x", "x IS NOT NULL"))
-sql_query("classify_pairs", lambda d: _PAIRS(d) + f"SELECT {_VERDICT} AS verdict, {_DIFFERING(d)} AS differing, count(*) AS n FROM mined GROUP BY 1, 2")
-sql_query("conflict_report", lambda d: _PAIRS(d) + f"""
+pair_query("classify_pairs", lambda d: f" SELECT {_VERDICT} AS verdict, {_DIFFERING(d)} AS differing, count(*) AS n FROM mined GROUP BY 1, 2")
+pair_query("conflict_report", lambda d: f"""
 , typed AS (SELECT *, {_VERDICT} AS verdict FROM mined WHERE model = 'PROMO' AND dataset = 'Brand#5')
 SELECT metric, verdict, paper_a, paper_b, k FROM (SELECT metric, verdict, paper_a, paper_b, row_number() OVER (PARTITION BY metric ORDER BY CASE verdict WHEN 'GENUINE' THEN 0 WHEN 'EXPLAINED' THEN 1 ELSE 2 END, rel DESC, paper_a, paper_b) AS k FROM typed) t WHERE k <= 6""")
-sql_query("pair_strata", lambda d: _PAIRS(d) + f", typed AS (SELECT {_VERDICT} AS verdict, {_DIFFERING(d)} AS differing, rel FROM mined) SELECT CASE WHEN verdict = 'GENUINE' AND rel > 0.5 THEN 'genuine large' WHEN verdict = 'GENUINE' THEN 'genuine' WHEN verdict = 'NOT_COMPARABLE' THEN 'open' WHEN differing LIKE '%,%' THEN 'several' ELSE differing END AS stratum, count(*) AS n FROM typed GROUP BY 1")
-sql_query("variant_replay", lambda d: _PAIRS(d) + f"""
+pair_query("pair_strata", lambda d: f", typed AS (SELECT {_VERDICT} AS verdict, {_DIFFERING(d)} AS differing, rel FROM mined) SELECT CASE WHEN verdict = 'GENUINE' AND rel > 0.5 THEN 'genuine large' WHEN verdict = 'GENUINE' THEN 'genuine' WHEN verdict = 'NOT_COMPARABLE' THEN 'open' WHEN differing LIKE '%,%' THEN 'several' ELSE differing END AS stratum, count(*) AS n FROM typed GROUP BY 1")
+pair_query("variant_replay", lambda d: f"""
 , switches AS (SELECT * FROM (VALUES ('strict', false), ('one-sided explains', true)) AS s(variant, one_sided))
 SELECT variant, CASE WHEN one_sided AND {_VERDICT} = 'NOT_COMPARABLE' THEN 'EXPLAINED' ELSE {_VERDICT} END AS verdict, count(*) AS n FROM mined CROSS JOIN switches GROUP BY 1, 2""")
 sql_query("relevant_results", lambda d: f"SELECT request_id, count(*) AS n FROM ({d.profiles}) p JOIN ({_REQ}) r ON model = r_model AND (language = r_language OR (language IS NULL AND r_language = 'NATION_2')) GROUP BY request_id")
-sql_query("fresh_pairs", lambda d: _PAIRS(d) + ", used AS (SELECT profile_a, profile_b FROM mined WHERE metric = 'A'), used_subject AS (SELECT DISTINCT paper_a, paper_b, model FROM mined WHERE metric = 'A') SELECT m.model, m.metric, count(*) AS n FROM mined m WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.profile_a = m.profile_a) AND NOT EXISTS (SELECT 1 FROM used u WHERE u.profile_b = m.profile_b) AND NOT EXISTS (SELECT 1 FROM used_subject u WHERE u.paper_a = m.paper_a AND u.paper_b = m.paper_b AND u.model = m.model) GROUP BY m.model, m.metric")
+pair_query("fresh_pairs", lambda d: ", used AS (SELECT profile_a, profile_b FROM mined WHERE metric = 'A'), used_subject AS (SELECT DISTINCT paper_a, paper_b, model FROM mined WHERE metric = 'A') SELECT m.model, m.metric, count(*) AS n FROM mined m WHERE NOT EXISTS (SELECT 1 FROM used u WHERE u.profile_a = m.profile_a) AND NOT EXISTS (SELECT 1 FROM used u WHERE u.profile_b = m.profile_b) AND NOT EXISTS (SELECT 1 FROM used_subject u WHERE u.paper_a = m.paper_a AND u.paper_b = m.paper_b AND u.model = m.model) GROUP BY m.model, m.metric")
 sql_query("gold_best_match", lambda d: f"""
 WITH p AS ({_SUBJECT(d)}), gold AS (SELECT paper_id, metric, dataset, model, cents FROM p WHERE setting = 'O' AND metric = 'R' AND language = 'NATION_4'),
 fits AS (SELECT g.paper_id, g.cents, g.dataset AS gold_dataset, p.profile_id, CASE WHEN p.metric = g.metric THEN 1 ELSE 0 END + CASE WHEN p.dataset = g.dataset THEN 1 ELSE 0 END + CASE WHEN p.model = g.model THEN 1 ELSE 0 END AS fit
