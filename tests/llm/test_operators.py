@@ -177,7 +177,7 @@ def test_similar_documents(spark, texts, awkward, empty):
     assert similar_documents(empty).count() == 0
 
 
-@pytest.mark.parametrize(("rows", "percent"), [(60, 90), (700, 90), (300, 70)])
+@pytest.mark.parametrize(("rows", "percent"), [(60, 90), (400, 90), (150, 70)])
 def test_similar_documents_in_large_groups(spark, rows, percent):
     rows = near_copies(rows)  # more than a block holds, and shingles that more than FEW share
     found = similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), percent=percent).select("doc_id", "n_shingles", "component_id", "n_links")
