@@ -10,6 +10,7 @@ or id, unless a part so named holds most of the page's points.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -22,7 +23,6 @@ from pyspark.sql import types as T
 #: Tags of HTML by how they are treated.
 DROPPED = frozenset("head script style noscript template iframe object embed svg canvas form button select textarea input option nav header footer aside dialog menu audio video map title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset(("script", "style", "textarea", "title", "iframe", "noscript"))
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 SCORED = frozenset(("p", "pre", "blockquote", "li", "td", "dd", "div", "section", "article"))
 #: An open element of the first kind ends where one of the second begins.
@@ -40,16 +40,25 @@ ASIDE = re.compile(
 )
 BY_OTHERS = re.compile(OTHERS, re.I)
 PLACED = frozenset("site top bottom left right list box bar wrap wrapper container block area links buttons posts items slot unit global primary secondary main user post".split())
+#: A stray end tag of the first kind ends nothing outside an element of the second.
+INLINE, FENCES = frozenset("b i a p span em strong".split()), frozenset("article body td table main".split())
+TAG = re.compile("<[a-zA-Z/!?]")
+COMMAS = (",", "\u060c", "\u3001")
 BLANK = re.compile(r"[\s ]+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "points", "below", "chars", "linked", "aside")
+    __slots__ = ("tag", "parent", "children", "dropped", "points", "below", "chars", "linked", "run", "commas", "aside", "depth", "stop", "fence", "article")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, aside: str = ""):
         self.tag, self.parent, self.dropped, self.aside = tag, parent, dropped, aside
+        # What the parser asks of the elements around is kept here, so that no open element makes it climb.
+        self.depth = parent.depth + 1 if parent else 0
+        self.stop: Node | None = self if tag in BLOCKS or tag in ENDS else parent.stop if parent else None
+        self.fence: int = self.depth if tag in FENCES else parent.fence if parent else -1
+        self.article: bool = tag == "article" or parent is not None and parent.article
         self.children: list[Node | str] = []
-        self.points, self.below, self.chars, self.linked = 0.0, 0.0, 0, 0
+        self.points, self.below, self.chars, self.linked, self.run, self.commas = 0.0, 0.0, 0, 0, 0, 0
 
 
 def aside(marks: str) -> str:
@@ -63,47 +72,47 @@ def aside(marks: str) -> str:
 
 
 class Tree(HTMLParser):
-    """A forgiving tree: unclosed elements end with what encloses them."""
+    """A forgiving tree: unclosed elements end with what encloses them. Each element is opened and closed once, so the
+    time is in proportion to the page however its tags are nested."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", None, False)
         self.marked = False
+        self.open: defaultdict[str, list[Node]] = defaultdict(list)
+
+    def _close(self, node: Node) -> None:
+        """Closes the given open element and all within."""
+        at = self.at
+        while True:
+            self.open[at.tag].pop()
+            self.at = at.parent
+            if at is node:
+                return
+            at = at.parent
 
     def handle_starttag(self, tag, attrs):
-        node = self.at
-        while node.parent is not None:  # an implied end tag reaches through inline elements only
+        node = self.at.stop
+        while node is not None:  # an implied end tag reaches through inline elements only
             if tag in ENDS.get(node.tag, ()):
-                self.at = node.parent
+                self._close(node)
                 break
             if node.tag in BLOCKS:
                 break
-            node = node.parent
+            node = node.parent.stop
         marks = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
         hidden = any(k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
-        dropped = self.at.dropped or hidden or (tag == "header" and not self._inside("article")) or (tag in DROPPED and tag != "header")
+        dropped = self.at.dropped or hidden or (tag == "header" and not self.at.article) or (tag in DROPPED and tag != "header")
         node = Node(tag, self.at, dropped, aside(marks) if marks and not dropped and tag not in ("html", "body", "main") else "")
         self.marked |= bool(node.aside)
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
-
-    def _inside(self, tag: str) -> bool:
-        node = self.at
-        while node is not None and node.tag != tag:
-            node = node.parent
-        return node is not None
+            self.open[tag].append(node)
 
     def handle_endtag(self, tag):
-        if tag in VOID:
-            return
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            if node.tag in ("article", "body", "td", "table", "main") and tag in ("b", "i", "a", "p", "span", "em", "strong"):
-                return  # a stray end tag ends nothing outside
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
+        if tag not in VOID and self.open[tag] and not (tag in INLINE and self.at.fence > self.open[tag][-1].depth):
+            self._close(self.open[tag][-1])
 
     def handle_data(self, data):
         if not self.at.dropped:
@@ -121,29 +130,30 @@ def walk(node: Node) -> Iterator[Node]:
 
 
 def weigh(root: Node) -> list[Node]:
-    """Sets chars, linked chars, points and all points below of every kept node; gives the nodes, parents first."""
+    """Sets chars, linked chars, points and all points below of every kept node; gives the nodes, parents first.
+
+    ``run`` and ``commas`` are of a node's own text and that of the inline elements in it.
+    """
     nodes = list(walk(root))
     for node in nodes:
         node.points = 0.0
-    own: dict[int, list[str]] = {}
     for node in reversed(nodes):
-        text = "".join(c for c in node.children if isinstance(c, str))
+        own = BLANK.sub(" ", "".join(c for c in node.children if isinstance(c, str))).strip()
         kids = [c for c in node.children if isinstance(c, Node) and not c.dropped]
-        node.chars = len(BLANK.sub(" ", text).strip()) + sum(k.chars for k in kids)
+        node.chars = len(own) + sum(k.chars for k in kids)
         node.linked = node.chars if node.tag == "a" else sum(k.linked for k in kids)
         node.below = sum(k.below for k in kids)
-        inline = [t for k in kids if k.tag not in BLOCKS for t in own.get(id(k), ())]
-        own[id(node)] = [text, *inline]
-        if node.tag in SCORED:
-            run = " ".join(own[id(node)])
-            if run.strip():
-                points, up = 1 + len(run.strip()) / 100 + run.count(",") + run.count("،") + run.count("、"), node.parent
-                node.below += points
-                for share in (1.0, 0.5, 0.25):
-                    if up is None:
-                        break
-                    up.points += points * share
-                    up = up.parent
+        inline = [k for k in kids if k.tag not in BLOCKS]
+        node.run = len(own) + sum(k.run for k in inline)
+        node.commas = sum(map(own.count, COMMAS)) + sum(k.commas for k in inline)
+        if node.tag in SCORED and node.run:
+            points, up = 1 + node.run / 100 + node.commas, node.parent
+            node.below += points
+            for share in (1.0, 0.5, 0.25):
+                if up is None:
+                    break
+                up.points += points * share
+                up = up.parent
     return nodes
 
 
@@ -192,7 +202,8 @@ def blocks(nodes: list[Node]) -> list[str]:
 def main_text(html: str) -> str:
     """The main text of a page: blocks joined by an empty line; empty if the page has none."""
     tree = Tree()
-    tree.feed(html)
+    end = html.rfind(">") + 1
+    tree.feed(html[:end] + TAG.split(html[end:], maxsplit=1)[0])  # a tag that never ends holds no text
     tree.close()
     nodes = weigh(tree.root)
     if tree.marked:
@@ -219,7 +230,9 @@ def main_text(html: str) -> str:
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """Every row of ``pages`` with its main ``text`` in place of ``html``; null html counts as empty.
 
-    ``text`` is empty if there is none. Other columns stay. A narrow map; a page is held whole.
+    ``text`` is empty if there is none. Other columns stay, but for one named ``text``, which the result replaces. Each
+    row is read on its own, so repeated rows get the same text and an empty table gives an empty one; of containers with
+    equal points the first on the page counts. A narrow map; a page is held whole, in time in proportion to its length.
     """
     kept = [f for f in pages.schema.fields if f.name not in ("html", "text")]
 

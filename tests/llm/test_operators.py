@@ -241,6 +241,22 @@ def test_main_text_without_long_comments():
     assert "reader" not in main_text(f'<body><article>{body}</article><div id="comments" class="comment-list">{thread * 9}</div></body>')
 
 
+@pytest.mark.parametrize("junk", ["<b>", "<b>x ", "<div>", "<p><font>", "<div><header>", "<b><td>", "</b>", "<a ", "<!--", "<", "<select><option>"])
+def test_main_text_among_many_open_tags(junk):
+    """Time in proportion to the page: 200,000 characters of junk end within seconds, and text before them stays."""
+    import time
+
+    body, start = "<p>" + "Long text, with commas, and words. " * 20 + "</p>", time.time()
+    assert main_text(f"<article>{body}</article>" + junk * (200_000 // len(junk))).startswith("Long text, with commas")
+    assert time.time() - start < 30
+
+
+def test_main_text_with_stray_ends():
+    body = "Long text, with commas, and words. " * 5
+    assert main_text(f"<article><b><table><tr><td>{body}</b> still</td></tr></table></b><p>next, one</p></article>").endswith("still\n\nnext, one")
+    assert main_text(f"<article><p>{body}<i>in</p><p>next</i> more</p></article>").endswith("in\n\nnext more")
+
+
 def test_languages(spark, awkward, empty):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held", F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
     model = train(docs.filter("NOT held"))
