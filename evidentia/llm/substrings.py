@@ -1,10 +1,12 @@
 """Repeated passages removed by level-wise doubling.
 
-Level one takes windows of half the wanted length (rounded up). Of these each document offers only those that are the
-least by hash among the ones inside some full window: equal full windows choose equal halves, so no repeat is missed
-while a quarter of the positions move. Halves found in one document alone can't be part of a repeat and are dropped;
-windows around the others are extended to the full length and met again, by both hashes, with the smallest document
-that holds them. Twice the half covers the full window, where the doubling ends: words of longer repeats are covered by it.
+Levels are the wanted length halved (rounded up) until it is at most ``SHORTEST`` words, from the shortest on; 13 words
+have one level, of 7, and 50 have levels of 7, 13 and 25. At each level a full window is known by its seed, the least by hash
+among the windows of the level's length inside it: equal full windows choose equal seeds, so no repeat is missed while
+only some positions move. Seeds found in one document alone can't be part of a repeat; full windows around the others
+go on to the next level, of twice the length, until none are left or the full length is reached. There they are met
+by the hashes of the whole and of the last seed with the smallest document that holds them. Words of longer repeats are
+covered by full windows.
 """
 
 from __future__ import annotations
@@ -23,28 +25,58 @@ from .common import BROADCAST_LIMIT, small, stored, text_slices
 #: A bit table of this size goes to every task and tells most halves that one document alone holds; the join that
 #: follows is exact, so a fuller table only lets more rows through to it.
 FILTER_BITS, FILTER_BLOCK_BITS = 27, 17
+SHORTEST = 8
+#: A window that starts in more than one of so many places of all is hot; there are fewer hot windows than this.
+HOT_SHARE = 4096
 
 
-def _batches(batches: Iterator[pa.RecordBatch], length: int):
-    """For each slice: document ids, the seed of each full window, the window's own hash, where it starts, its document."""
-    half = (length + 1) // 2
+def levels(length: int) -> list[int]:
+    """Lengths of the seeds, each at least half the next, the last at least half of ``length``."""
+    sizes = [(length + 1) // 2]
+    while sizes[0] > SHORTEST:
+        sizes.insert(0, (sizes[0] + 1) // 2)
+    return sizes
+
+
+def _batches(batches: Iterator[pa.RecordBatch], length: int, size: int, before: list):
+    """For each slice: document ids, the seed of ``size`` words of each full window that the levels before let through,
+    hashes of all words, where among them the window starts, where in its document, and which document that is.
+
+    before: (size, table of bits) of each level that is done.
+    """
     for batch in text_slices(batches, 2 << 20):
         texts = [(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
         ids = np.asarray(batch.column("doc"), np.int64)
         hashes, first = hashing.words(texts)
-        seeds = hashing.sliding_min(hashing.windows(hashes, half), length - half + 1)
-        if not len(seeds):
-            continue
         counts = np.maximum(np.diff(first) - length + 1, 0)
         doc = np.repeat(np.arange(len(ids)), counts)
         at = np.arange(len(doc)) - np.repeat(np.cumsum(counts) - counts, counts)
         place = at + first[doc]
-        yield ids, seeds[place], hashes, place, at, doc
+        for done, table in before:
+            kept = _held(table.value, _of(hashes, length, done)[place])
+            doc, at, place = doc[kept], at[kept], place[kept]
+        if len(place):
+            yield ids, _of(hashes, length, size)[place], hashes, place, at, doc
+
+
+def _of(hashes: np.ndarray, length: int, size: int) -> np.ndarray:
+    """The seed of ``size`` words of the full window from each word on."""
+    return hashing.sliding_min(hashing.windows(hashes, size), length - size + 1)
+
 
+def _held(table: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Are the bits of each seed set? Worked out once for each run of equal ones."""
+    new = np.ones(len(seeds), bool)
+    new[1:] = seeds[1:] != seeds[:-1]
+    own, ok = seeds[new], np.ones(np.count_nonzero(new), bool)
+    for at in _bits(own):
+        ok &= (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    return ok[np.cumsum(new) - 1]
 
-def _seeds(length: int):
+
+def _seeds(length: int, size: int, before: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, seeds, _, _, _, doc in _batches(batches, length):
+        for ids, seeds, _, _, _, doc in _batches(batches, length, size, before):
             new = np.ones(len(seeds), bool)
             new[1:] = (seeds[1:] != seeds[:-1]) | (doc[1:] != doc[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(seeds[new].view(np.int64)), pa.array(ids[doc[new]])], ["seed", "doc"])
@@ -85,41 +117,55 @@ def seed_filter(shared: DataFrame) -> np.ndarray:
     return table.reshape(-1)
 
 
-def _windows(length: int, table):
-    """A row for each run of full windows that share a seed, with their hashes, where the seed may be shared."""
+def _windows(length: int, before: list):
+    """A row for each run of full windows that share a seed of the last level, with their hashes, where all levels let them through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, seeds, hashes, place, at, doc in _batches(batches, length):
+        for ids, seeds, hashes, place, at, doc in _batches(batches, length, before[-1][0], before):
             new = np.ones(len(seeds), bool)
-            new[1:] = (seeds[1:] != seeds[:-1]) | (doc[1:] != doc[:-1])
+            new[1:] = (seeds[1:] != seeds[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)
             begin = np.flatnonzero(new)
-            size = np.diff(np.append(begin, len(seeds)))
-            ok = np.ones(len(begin), bool)
-            for at_bit in _bits(seeds[begin]):
-                ok &= (table.value[at_bit >> 3] >> (7 - (at_bit & 7)).astype(np.uint8)) & 1 == 1
-            own = hashing.windows(hashes, length)[place[np.repeat(ok, size)]].view(np.int64)
-            begin, size = begin[ok], size[ok]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(own))
+            own = hashing.windows(hashes, length)[place].view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(seeds)).astype(np.int32)), pa.array(own))
             yield pa.RecordBatch.from_arrays([pa.array(seeds[begin].view(np.int64)), pa.array(ids[doc[begin]]), pa.array(at[begin].astype(np.int32)), lists], ["seed", "doc", "at", "hashes"])
 
     return run
 
 
+def later_starts(full: DataFrame) -> DataFrame:
+    """(doc, at) of the windows that also start in a document of a smaller id.
+
+    Windows that hold more than one row in ``HOT_SHARE`` would fill a task of the join. There are fewer of them than
+    ``HOT_SHARE`` at any size, so their smallest documents go to every task and their rows stay where they lie.
+    """
+    keys = ["hash", "seed"]
+    first = stored(full.groupBy(keys).agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).filter("first < last").select(*keys, "first", "n"))
+    limit = full.count() // HOT_SHARE
+    hot = F.broadcast(first.filter(F.col("n") > limit).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("first").alias("_first")))
+    marked = full.join(hot, (F.col("hash") == F.col("_hash")) & (F.col("seed") == F.col("_seed")), "left")
+    held = marked.filter(F.col("_first").isNotNull() & (F.col("doc") > F.col("_first"))).select("doc", "at")
+    rest = marked.filter(F.col("_first").isNull()).select(*keys, "doc", "at")
+    return held.union(rest.join(first.filter(F.col("n") <= limit).select(*keys, "first"), keys).filter("doc > first").select("doc", "at"))
+
+
 def repeated_spans(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text", broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
     """(doc, spans): the words of each document covered by windows that also start in a document of a smaller id.
 
-    spans: merged, in order, structs of first word and end (exclusive). Documents without any have no row.
+    spans: merged, in order, structs of first word and end (exclusive). Documents without any have no row,
+    and neither have null texts nor rows without an id. Rows of one id are taken as one document.
     """
     texts = docs.filter(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    seeds = texts.mapInArrow(_seeds(length), "seed long, doc long")
-    shared = seeds.groupBy("seed").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("seed")
-    shared = stored(shared)
-    table = docs.sparkSession.sparkContext.broadcast(seed_filter(shared))
-    runs = texts.mapInArrow(_windows(length, table), "seed long, doc long, at int, hashes array<long>").join(small(shared, broadcast_limit), "seed")
+    before: list = []
+    for size in levels(length):
+        seeds = texts.mapInArrow(_seeds(length, size, list(before)), "seed long, doc long")
+        shared = stored(seeds.groupBy("seed").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("seed"))
+        table = seed_filter(shared)
+        before.append((size, docs.sparkSession.sparkContext.broadcast(table)))
+        if not table.any():  # no candidates survive
+            break
+    runs = texts.mapInArrow(_windows(length, before), "seed long, doc long, at int, hashes array<long>").join(small(shared, broadcast_limit), "seed")
     full = stored(runs.select("seed", "doc", "at", F.posexplode("hashes").alias("k", "hash")).select("seed", "hash", "doc", (F.col("at") + F.col("k")).alias("at")))
-    first = full.groupBy("hash", "seed").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("hash", "seed", "first")
-    again = full.join(first, ["hash", "seed"]).filter("doc > first")
-    per = again.groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("s"))
+    per = later_starts(full).groupBy("doc").agg(F.sort_array(F.collect_set("at")).alias("s"))
     # Starts in a row make one span; the next one begins where a start lies beyond the words already covered.
     begins = F.filter("s", lambda x, i: (i == 0) | (x - F.get(F.col("s"), F.greatest(i - 1, F.lit(0))) > length))
     lasts = F.filter("s", lambda x, i: (i == F.size("s") - 1) | (F.get(F.col("s"), i + 1) - x > length))
@@ -130,7 +176,8 @@ def remove_repeats(docs: DataFrame, length: int = 13, id_col: str = "doc_id", te
     """One row for each row of ``docs``: id, n_words, n_removed, spans and ``kept_text``, the words left joined by a space.
 
     Words are runs of characters that aren't ASCII white space. Null texts have none; texts shorter than ``length``
-    words keep all; rows of one id are taken as the same document; other columns are ignored.
+    words keep all; rows of one id are taken as the same document; rows without an id keep all and take no word from
+    others; an empty table gives an empty one; other columns, whatever their names, are ignored. A text is held whole.
     """
     spans = small(stored(repeated_spans(docs, length, id_col, text_col, broadcast_limit)), broadcast_limit)
     kind = docs.schema[id_col].dataType

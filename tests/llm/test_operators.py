@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidentia.llm import queries as Q
+from evidentia.llm import substrings
 from evidentia.llm.bpe import Codec, bpe_decode, bpe_round_trip
 from evidentia.llm.components import connected_components
 from evidentia.llm.decontaminate import decontaminate
@@ -156,6 +157,23 @@ def test_repeated_passages(spark, texts, awkward, empty, limit):
     assert remove_repeats(empty, broadcast_limit=limit).count() == 0
 
 
+@pytest.mark.parametrize(("length", "share"), [(13, 1), (13, 20), (50, 1), (50, 4096), (1, 4096), (2, 4096)])
+def test_repeated_passages_by_levels(spark, monkeypatch, length, share):
+    """One level, several and the shortest; with windows that all, some or none count as hot."""
+    monkeypatch.setattr(substrings, "HOT_SHARE", share)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(base[:60] + [f"d{i}x{k}" for k in range(40)] + base[60 + i : 60 + i + 3 * (i % 25)])) for i in range(60)]
+    rows += [(100, None), (101, ""), (102, " ".join(base)), (103, " ".join(base[:60] * 3))]
+    found = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=length).select("doc_id", "n_words", "n_removed", Q.sha_hex(F.col("kept_text")))
+    assert by_id(found, 3) == brute.repeats_removed(rows, length)
+
+
+def test_repeated_passages_without_candidates(spark):
+    rows = [(i, " ".join(f"d{i}x{k}" for k in range(80))) for i in range(5)] + [(None, " ".join(f"d0x{k}" for k in range(80)))]
+    found = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), length=50).collect()}
+    assert found == {i: (80, 0) for i in (0, 1, 2, 3, 4, None)}
+
+
 def near_copies(n):
     base = [f"w{i}" for i in range(200)]
     rows = [(0, " ".join(base))]
