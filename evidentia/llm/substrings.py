@@ -135,17 +135,19 @@ def _windows(length: int, before: list):
 def later_starts(full: DataFrame) -> DataFrame:
     """(doc, at) of the windows that also start in a document of a smaller id.
 
-    Windows that hold more than one row in ``HOT_SHARE`` would fill a task of the join. There are fewer of them than
-    ``HOT_SHARE`` at any size, so their smallest documents go to every task and their rows stay where they lie.
+    Windows that hold more than one row in ``HOT_SHARE`` would fill a task of the join, so their rows are dealt by
+    document to parts of about that many rows, and the smallest document goes to each. There are fewer hot windows
+    than ``HOT_SHARE`` at any size, so the list of them is broadcast.
     """
     keys = ["hash", "seed"]
-    first = stored(full.groupBy(keys).agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).filter("first < last").select(*keys, "first", "n"))
-    limit = full.count() // HOT_SHARE
-    hot = F.broadcast(first.filter(F.col("n") > limit).select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("first").alias("_first")))
-    marked = full.join(hot, (F.col("hash") == F.col("_hash")) & (F.col("seed") == F.col("_seed")), "left")
-    held = marked.filter(F.col("_first").isNotNull() & (F.col("doc") > F.col("_first"))).select("doc", "at")
-    rest = marked.filter(F.col("_first").isNull()).select(*keys, "doc", "at")
-    return held.union(rest.join(first.filter(F.col("n") <= limit).select(*keys, "first"), keys).filter("doc > first").select("doc", "at"))
+    limit = max(1, full.count() // HOT_SHARE)
+    parts = F.ceil(F.col("n") / limit)
+    first = stored(full.groupBy(*keys).agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("n")).filter("first < last").select(*keys, "first", parts.alias("parts")))
+    hot = first.filter(F.col("parts") > 1).select(*[F.col(k).alias(f"_{k}") for k in keys], "parts")
+    marked = full.join(F.broadcast(hot), (F.col("hash") == F.col("_hash")) & (F.col("seed") == F.col("_seed")), "left")
+    dealt = marked.select(*keys, "doc", "at", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("parts")), F.lit(0).cast("long")).alias("part"))
+    sent = first.select(*keys, "first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    return dealt.join(sent, [*keys, "part"]).filter("doc > first").select("doc", "at")
 
 
 def repeated_spans(docs: DataFrame, length: int = 13, id_col: str = "doc_id", text_col: str = "text", broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
