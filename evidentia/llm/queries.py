@@ -43,7 +43,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", sha_hex(spelled("base")).alias("base_sha256"), spelled("spans").alias("spans"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", sha_hex(spelled("base")).alias("base_sha256"), spelled("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
