@@ -16,11 +16,6 @@ from .scalars import NAMES, family, norm
 _P = lambda d: f"SELECT * FROM ({d.profiles})"
 _REQ = "SELECT * FROM (VALUES (1, 'PROMO', 'Brand#5', 'NATION_7'), (2, 'SMALL', 'Brand#23', 'NATION_1'), (3, 'LARGE', 'Brand#9', 'NATION_20'), (4, 'ECONOMY', 'Brand#99', 'NATION_2')) AS r(request_id, r_model, r_dataset, r_language)"
 
-sql_query("profiles_matching", lambda d: f"SELECT request_id, profile_id, value FROM ({d.profiles}) p JOIN ({_REQ}) r ON model = r_model AND dataset = r_dataset AND language = r_language")
-sql_query("chunks_recording", lambda d: f"""
-WITH per AS (SELECT request_id, chunk_id, count(*) AS n FROM ({d.profiles}) p JOIN ({_REQ}) r ON language = r_language AND dataset = r_dataset AND model = r_model GROUP BY request_id, chunk_id),
-top AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY n DESC, chunk_id) AS k FROM per)
-SELECT request_id, chunk_id, n, k FROM top WHERE k <= 4""")
 _PATCH = "SELECT profile_id, CASE WHEN model_size IS NULL THEN true ELSE false END AS has_language, CASE WHEN model_size IS NULL THEN NULL ELSE 'x' END AS new_language, setting = 'F' AS has_value, value / 10 AS new_value"
 sql_query("overlay_read", lambda d: f"""
 WITH p AS ({_P(d)}), patch AS ({_PATCH} FROM p WHERE metric = 'R')
