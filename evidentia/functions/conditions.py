@@ -5,8 +5,6 @@ Everything is built-in functions on columns, so a predicate can stand in a filte
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,9 +34,13 @@ def key(text: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]", "")
 
 
+def _quoted(names) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
 def named(names: dict[str, str], k: Column) -> Column:
     """The full name behind a short one; other keys stay."""
-    return reduce(lambda c, x: c.when(k == x[0], F.lit(x[1])), list(names.items())[1:], F.when(k == next(iter(names)), F.lit(names[next(iter(names))]))).otherwise(k)
+    return F.coalesce(F.try_element_at(F.expr(f"map({', '.join(_quoted(x) for x in names.items())})"), k), k)
 
 
 def params(text: Column) -> Column:
@@ -82,65 +84,87 @@ def language_pair(text: Column) -> Column:
 
 def in_suite(requested: Column, observed: Column) -> Column:
     """Is the observed dataset a part of the requested suite? Parts of four characters or more may go on (mnli-m)."""
-    r, o = key(requested), key(observed)
-    part = lambda m: (o == m) | (F.startswith(o, F.lit(m)) if len(m) >= 4 else F.lit(False))
-    return (r != o) & reduce(lambda a, b: a | b, [(r == suite) & reduce(lambda a, b: a | b, map(part, members)) for suite, members in SUITES.items()])
+    return _part_of(key(requested), key(observed))
 
 
-def _model(r: Column, o: Column) -> Column:
-    (rf, rs), (of, os) = model_core(r), model_core(o)
-    return (rf == of) & (rs.isNull() | os.isNull() | (rs == os))
+def _part_of(r: Column, o: Column) -> Column:
+    suites = F.expr(f"map({', '.join(f"'{suite}', array({_quoted(members)})" for suite, members in SUITES.items())})")
+    part = lambda m: (o == m) | ((F.length(m) >= 4) & F.startswith(o, m))
+    return (r != o) & F.coalesce(F.exists(F.try_element_at(suites, r), part), F.lit(False))
 
 
-def _dataset(r: Column, o: Column) -> Column:
-    a, b = key(r), key(o)
-    return (F.length(a) >= 3) & (F.length(b) >= 3) & (F.startswith(a, b) | F.startswith(b, a))
+def _contains(a: Column, b: Column) -> Column:
+    return ((a != "") & (a == b)) | ((F.length(a) >= 4) & (F.length(b) >= 4) & (F.contains(a, b) | F.contains(b, a)))
 
 
-def _language(r: Column, o: Column) -> Column:
-    seen = named(LANGUAGES, key(o))
-    return (named(LANGUAGES, key(r)) == seen) | F.array_contains(language_pair(r), seen)
+def features(field: str, text: Column) -> Column:
+    """What a value is compared by, as a struct: worked out once a value, however many others it meets.
 
+    field: model, dataset, dataset_version, language, model_size, setting or task; others are compared by their keys.
+    """
+    k = key(text)
+    if field == "model":
+        family, size = model_core(text)
+        own = [family.alias("family"), size.alias("size")]
+    elif field == "dataset_version":
+        own = [version(text).alias("said"), version(text).try_cast("double").alias("number")]
+    elif field == "language":
+        own = [named(LANGUAGES, k).alias("name"), language_pair(text).alias("pair")]
+    elif field == "model_size":
+        own = [k.alias("key"), params(text).alias("millions")]
+    elif field == "setting":
+        tags = setting_tags(text)
+        # A recorded cross-lingual transfer is zero-shot unless it says that something was translated.
+        transfer = F.lower(text).rlike("cross[- ]?lingual transfer") & ~F.arrays_overlap(tags, F.array(F.lit("translate-train"), F.lit("translate-test")))
+        own = [k.alias("key"), tags.alias("tags"), F.when(transfer, F.array_union(tags, F.array(F.lit("zero-shot")))).otherwise(tags).alias("recorded")]
+    else:
+        own = [(named(TASKS, k) if field == "task" else k).alias("key")]
+    return F.struct((F.coalesce(text, F.lit("")) != "").alias("given"), *own)
 
-def _size(r: Column, o: Column) -> Column:
-    a, b = params(r), params(o)
-    return F.when(a.isNotNull() & b.isNotNull(), F.abs(a - b) <= 0.05 * F.greatest(a, b)).otherwise(key(r) == key(o))
 
+def _model(r: Column, o: Column) -> Column:
+    return (r["family"] == o["family"]) & (r["size"].isNull() | o["size"].isNull() | (r["size"] == o["size"]))
 
-def _contains(a: Column, b: Column) -> Column:
-    return ((a != "") & (a == b)) | ((F.length(a) >= 4) & (F.length(b) >= 4) & (F.contains(a, b) | F.contains(b, a)))
+
+def _dataset(r: Column, o: Column) -> Column:
+    a, b = r["key"], o["key"]
+    return (F.length(a) >= 3) & (F.length(b) >= 3) & (F.startswith(a, b) | F.startswith(b, a))
+
+
+def _size(r: Column, o: Column) -> Column:
+    a, b = r["millions"], o["millions"]
+    return F.when(a.isNotNull() & b.isNotNull(), F.abs(a - b) <= 0.05 * F.greatest(a, b)).otherwise(r["key"] == o["key"])
 
 
 def _setting(r: Column, o: Column) -> Column:
-    a, b = setting_tags(r), setting_tags(o)
-    # A recorded cross-lingual transfer is zero-shot unless it says that something was translated.
-    transfer = F.lower(o).rlike("cross[- ]?lingual transfer") & ~F.arrays_overlap(b, F.array(F.lit("translate-train"), F.lit("translate-test")))
-    b = F.when(transfer, F.array_union(b, F.array(F.lit("zero-shot")))).otherwise(b)
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_except(a, b)) == 0).otherwise(_contains(key(r), key(o)))
+    a, b = r["tags"], o["recorded"]
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_except(a, b)) == 0).otherwise(_contains(r["key"], o["key"]))
 
 
 _MATCH = {
     "model": _model,
     "dataset": _dataset,
-    "dataset_version": lambda r, o: (version(r) == version(o)) | F.coalesce(version(r).try_cast("double") == version(o).try_cast("double"), F.lit(False)),
-    "language": _language,
+    "dataset_version": lambda r, o: (r["said"] == o["said"]) | F.coalesce(r["number"] == o["number"], F.lit(False)),
+    "language": lambda r, o: (r["name"] == o["name"]) | F.array_contains(r["pair"], o["name"]),
     "model_size": _size,
     "setting": _setting,
-    "task": lambda r, o: _contains(named(TASKS, key(r)), named(TASKS, key(o))),
 }
 
 
-def values_match(field: str, requested: Column, observed: Column) -> Column:
-    """Does an observed value satisfy a requested one? Never null: a missing value satisfies nothing and isn't satisfied.
+def agree(field: str, r: Column, o: Column, suites: bool = True) -> Column:
+    """Do the features of an observed value satisfy those of a requested one? Never null: a missing value satisfies
+    nothing and isn't satisfied. With ``suites``, a requested suite is also covered by results on its parts."""
+    test = _MATCH.get(field, lambda a, b: _contains(a["key"], b["key"]))(r, o)
+    if field == "dataset" and suites:
+        test = test | _part_of(r["key"], o["key"])
+    return F.coalesce(r["given"] & o["given"] & test, F.lit(False))
 
-    field: model, dataset, dataset_version, language, model_size, setting or task; others are compared by their keys.
-    """
-    test = _MATCH.get(field, lambda r, o: _contains(key(r), key(o)))
-    given = (F.coalesce(requested, F.lit("")) != "") & (F.coalesce(observed, F.lit("")) != "")
-    return F.coalesce(given & test(requested, observed), F.lit(False))
+
+def values_match(field: str, requested: Column, observed: Column) -> Column:
+    """Does an observed value satisfy a requested one?"""
+    return agree(field, features(field, requested), features(field, observed), suites=False)
 
 
 def covers(field: str, requested: Column, observed: Column) -> Column:
     """``values_match``; a requested suite is also covered by results on its parts."""
-    found = values_match(field, requested, observed)
-    return found | F.coalesce(in_suite(requested, observed), F.lit(False)) if field == "dataset" else found
+    return agree(field, features(field, requested), features(field, observed))

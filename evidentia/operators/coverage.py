@@ -14,7 +14,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.functions.conditions import covers
+from evidentia.functions.conditions import agree, features
 
 FIELDS = ("model", "dataset", "language")
 #: The condition to blame is the first of these without which a result holds the others.
@@ -36,7 +36,7 @@ def _given(field: str) -> Column:
 
 def _held(field: str) -> Column:
     """The condition is asked for and covered."""
-    return covers(field, F.col(f"r_{field}"), F.col(field).cast("string"))
+    return agree(field, F.col(f"_asked_{field}"), F.col(f"_seen_{field}"))
 
 
 def _fits(field: str) -> Column:
@@ -44,7 +44,10 @@ def _fits(field: str) -> Column:
 
 
 def _combinations(found: DataFrame, block: DataFrame, fields: Sequence[str], test: Column) -> DataFrame:
-    return found.select(*fields).distinct().join(F.broadcast(block), test)
+    """Distinct combinations of the fields with the requests they pass the test with, features of both beside them."""
+    seen = found.select(*fields).distinct().select(*fields, *[features(f, F.col(f).cast("string")).alias(f"_seen_{f}") for f in fields])
+    sent = block.select("*", *[features(f, F.col(f"r_{f}")).alias(f"_asked_{f}") for f in fields])
+    return seen.join(F.broadcast(sent), test)
 
 
 def _back(found: DataFrame, combinations: DataFrame, fields: Sequence[str]) -> DataFrame:
