@@ -3,7 +3,7 @@
 from importlib import import_module
 
 #: Modules that register queries when they are imported.
-MODULES = ("coverage", "scalars", "store", "retrieval", "evaluation", "tables")
+MODULES = ("coverage", "scalars", "store", "retrieval", "evaluation", "tables", "answers")
 
 
 def load():
