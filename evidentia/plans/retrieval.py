@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from .dialect import Spark, sql_query
+import re
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from evidentia.operators.vectors import nearest, regular
+
+from .catalogue import query
+from .dialect import TABLES, Duck, Spark, sql_query
 
 
 def dot(d: Spark, a: str, b: str) -> str:
@@ -23,7 +31,26 @@ asked AS (SELECT item_id, {d.explode}({d.tokens('text')}) AS term FROM benchmark
 scored AS (SELECT item_id, tf.doc_id, round(sum(idf * n * {K1 + 1} / (n + {K1} * ({1 - B} + {B} * len / avg_len))), 4) AS score FROM asked JOIN tf ON tf.term = asked.term JOIN idf ON idf.term = asked.term JOIN dl ON dl.doc_id = tf.doc_id CROSS JOIN corpus GROUP BY item_id, tf.doc_id),
 bm25 AS (SELECT item_id, doc_id, score, r FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS r FROM scored WHERE score > 0) t WHERE r <= {k})"""
 
-sql_query("dense_knn", lambda d: _KNN(d, 10))
+
+
+def vector_query(name: str, k: int, text: Callable[[Spark, str], str]) -> None:
+    """A query whose text takes the first ``k`` neighbours of each asked vector as a relation: by tiles in Spark, by its SQL over vectors that are not regular."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        spark = spark.newSession()  # its views are not the caller's
+        for name in TABLES:
+            if re.search(rf"\b{name}\b", text(Spark(), "embeddings")):
+                spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
+        vectors = spark.table("embeddings")
+        if not regular(vectors):
+            return spark.sql(text(Spark(), _KNN(Spark(), k)))
+        nearest(vectors, vectors.filter("vec_id % 20 = 0"), k).createOrReplaceTempView("neighbours")
+        return spark.sql(text(Spark(), "SELECT q, vec_id, score, r FROM neighbours"))
+
+    query(name, text(Duck(), _KNN(Duck(), k)))(run)
+
+
+vector_query("dense_knn", 10, lambda d, knn: knn)
 sql_query("bm25_search", lambda d: f"WITH {_BM25(d, 10)} SELECT item_id, doc_id, score, r FROM bm25")
 sql_query("rrf_fusion", lambda d: f"""
 WITH {_BM25(d, 30)}, dense AS ({_KNN(d, 30)}), lists AS (SELECT item_id AS q, doc_id AS id, r FROM bm25 UNION ALL SELECT q, vec_id, r FROM dense),
