@@ -52,8 +52,8 @@ def vector_query(name: str, k: int, text: Callable[[Spark, str], str]) -> None:
 
 vector_query("dense_knn", 10, lambda d, knn: knn)
 sql_query("bm25_search", lambda d: f"WITH {_BM25(d, 10)} SELECT item_id, doc_id, score, r FROM bm25")
-sql_query("rrf_fusion", lambda d: f"""
-WITH {_BM25(d, 30)}, dense AS ({_KNN(d, 30)}), lists AS (SELECT item_id AS q, doc_id AS id, r FROM bm25 UNION ALL SELECT q, vec_id, r FROM dense),
+vector_query("rrf_fusion", 30, lambda d, knn: f"""
+WITH {_BM25(d, 30)}, dense AS ({knn}), lists AS (SELECT item_id AS q, doc_id AS id, r FROM bm25 UNION ALL SELECT q, vec_id, r FROM dense),
 fused AS (SELECT q, id, round(sum(1e0 / (60 + r)) * CASE WHEN id % 10 = 3 THEN 1.15 ELSE 1 END, 9) AS score FROM lists GROUP BY q, id)
 SELECT q, id, score, k FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS k FROM fused) t WHERE k <= 20""")
 _RANKED = "SELECT o_custkey AS q, o_orderkey AS id, CAST(floor(o_totalprice) AS bigint) % 17 - 9 AS score, o_orderstatus = 'F' AS relevant, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders"

@@ -34,7 +34,7 @@ def test_regular(spark):
         assert V.regular(spark.createDataFrame([(1, [0.0, 1.0]), (2, row)], "vec_id long, embedding array<float>")) == wanted
 
 
-@pytest.mark.parametrize("name", ["dense_knn"])
+@pytest.mark.parametrize("name", ["dense_knn", "rrf_fusion"])
 def test_no_cross_join_of_vectors(spark, name):
     plan = load().QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "zip_with" not in plan and "vec_id#" not in "".join(line for line in plan.splitlines() if "Join Cross" in line)
